@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def squeeze(raw: bytes, width: int) -> bytes:
+    """A record on its way to its shard: low bytes, then high bytes (which vary little), compressed."""
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8)
+    return planes.reshape(packed[0], -1).T.tobytes()
+
+
 def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path: str | None) -> DataFrame:
     def cut_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,7 +96,7 @@ def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path:
             record = np.full(length, end_id, kind)
             record[:held_n] = ids
             raw = record.tobytes()
-            rows.append((part, place, held_n, zlib.crc32(raw), pieces, raw))
+            rows.append((part, place, held_n, zlib.crc32(raw), pieces, squeeze(raw, kind.itemsize)))
             place, held, held_n, pieces = place + 1, [], 0, []
 
         def batch_of() -> pa.RecordBatch:
@@ -162,7 +173,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, length: int = LENGTH
 
         for batch in batches:
             shards, slots = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            stride = len(batch.column(5)[0].as_py()) if batch.num_rows else 0
+            stride = len(unsqueeze(batch.column(5)[0].as_py())) if batch.num_rows else 0
             for s in np.unique(shards):
                 if s != shard:
                     end()
@@ -172,7 +183,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, length: int = LENGTH
                         stream = files.open_output_stream(temporary)
                 if stream is not None:
                     for record in batch.column(5).filter(pa.array(shards == s)):
-                        stream.write(record.as_buffer())
+                        stream.write(unsqueeze(record.as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots % shard_records * stride), *(batch.column(i) for i in (2, 3, 4))], names=names)
         end()
 
