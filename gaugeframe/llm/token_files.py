@@ -70,7 +70,7 @@ def shard_name(shard: int) -> str:
 
 def squeeze(raw: bytes, width: int) -> bytes:
     """A record on its way to its shard: low bytes, then high bytes (which vary little), compressed."""
-    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unsqueeze(packed: bytes) -> bytes:
@@ -96,7 +96,7 @@ def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path:
             record = np.full(length, end_id, kind)
             record[:held_n] = ids
             raw = record.tobytes()
-            rows.append((part, place, held_n, zlib.crc32(raw), pieces, squeeze(raw, kind.itemsize)))
+            rows.append((part, place, held_n, zlib.crc32(raw), pieces, raw))
             place, held, held_n, pieces = place + 1, [], 0, []
 
         def batch_of() -> pa.RecordBatch:
@@ -151,7 +151,8 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, length: int = LENGTH
         for batch in batches:
             number = first[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             slot = permute(number, size, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_records), *(batch.column(i) for i in range(2, 6))], names=["slot", "shard", *batch.schema.names[2:]])
+            packed = pa.array([squeeze(r.as_py(), len(r.as_buffer()) // length) for r in batch.column(5)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_records), *(batch.column(i) for i in range(2, 5)), packed], names=["slot", "shard", *batch.schema.names[2:]])
 
     kinds = "n_tokens int, record_crc32 long, pieces array<struct<doc_id:long,start:long,length:long>>"
     slotted = rows.mapInArrow(place, f"slot long, shard long, {kinds}, record binary")
