@@ -17,7 +17,7 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"""
 
 #: Distinct pre-tokens that a worker remembers besides the vocabulary; older ones are merged again when needed.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -30,7 +30,7 @@ from .common import fresh_name, table
 SIZE = 1 << 18
 MIN_ROWS = 3
 COMMON = 0.3
-SAMPLE = 12_000
+SAMPLE = 8_000
 GRADES = 3
 _EDGE = ".,;:!?\"'()[]#*$%&|<>"
 _SHARES = (0.0, 0.002, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
@@ -46,7 +46,7 @@ class _Slots(dict):
     """Word -> slots of its features; forgotten when there are too many."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         bare = word.strip(_EDGE)
         value = self[word] = (*((_slot("w " + bare),) if bare else ()), *((_slot("p " + bare[:5]),) if len(bare) > 6 else ()))
@@ -129,9 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | Non
     def slots(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t or "") for t in texts])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", slots("text").alias("slots")).collect()  # of ``most`` ids
-    rows.sort(key=lambda r: (r.doc_id, r.grade, r.slots))
-    return fit([np.array(r.slots, np.int32) for r in rows], np.array([r.grade for r in rows])) if rows else None
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", slots("text").alias("slots")).toArrow()  # of ``most`` ids
+    if not found.num_rows:
+        return None
+    lists = found["slots"].combine_chunks()
+    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    return fit([np.sort(flat[bounds[i] : bounds[i + 1]]) for i in order], found["grade"].to_numpy()[order])
 
 
 def scores(text: Column, model: Model) -> Column:
