@@ -29,7 +29,7 @@ from .common import fresh_name, table
 
 SIZE = 1 << 18
 MIN_ROWS = 3
-COMMON = 0.5
+COMMON = 0.3
 SAMPLE = 8_000
 GRADES = 3
 _EDGE = ".,;:!?\"'()[]#*$%&|<>"
