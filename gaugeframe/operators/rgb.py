@@ -57,8 +57,8 @@ def edges(df: DataFrame, side: str, out: str, threshold: float = 0.1, method: st
     edge = F.col("__m") > threshold
     if method == "canny_approx":
         angle = F.pmod(F.degrees(F.atan2(gy, gx)), F.lit(180.0))
-        x = x.withColumns({"__up": F.lag("__m").over(S.COLUMN), "__down": F.lead("__m").over(S.COLUMN), "__left": F.lag("__m").over(S.ROW), "__right": F.lead("__m").over(S.ROW), "__angle": angle})
-        x = x.withColumns({"__ul": F.lag("__up").over(S.ROW), "__ur": F.lead("__up").over(S.ROW), "__dl": F.lag("__down").over(S.ROW), "__dr": F.lead("__down").over(S.ROW)})
+        x = x.withColumns({"__up": F.lag("__m").over(S.column()), "__down": F.lead("__m").over(S.column()), "__left": F.lag("__m").over(S.row()), "__right": F.lead("__m").over(S.row()), "__angle": angle})
+        x = x.withColumns({"__ul": F.lag("__up").over(S.row()), "__ur": F.lead("__up").over(S.row()), "__dl": F.lag("__down").over(S.row()), "__dr": F.lead("__down").over(S.row())})
         ridge = lambda a, b: (F.col("__m") >= F.col(a)) & (F.col("__m") >= F.col(b))
         t = F.col("__angle")
         keep = F.when((t < 22.5) | (t >= 157.5), ridge("__left", "__right")).when(t < 67.5, ridge("__ul", "__dr")).when(t < 112.5, ridge("__up", "__down")).otherwise(ridge("__ur", "__dl"))

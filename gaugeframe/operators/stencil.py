@@ -10,11 +10,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW, COLUMN = Window.partitionBy("img", "r").orderBy("c"), Window.partitionBy("img", "c").orderBy("r")
+def row():
+    return Window.partitionBy("img", "r").orderBy("c")
+
+
+def column():
+    return Window.partitionBy("img", "c").orderBy("r")
 
 
 def tap(x: Column, step: int, along: str, pad: str) -> Column:
-    w = ROW if along == "c" else COLUMN
+    w = row() if along == "c" else column()
     near = (F.lead if step > 0 else F.lag)(x, abs(step))
     return F.coalesce(near.over(w), x if pad == "reflect" else F.lit(0.0))
 
@@ -38,7 +43,7 @@ def gradients(df: DataFrame, columns: list[str], side: float, middle: float, sca
 def neighbourhood(df: DataFrame, name: str, out: str, how: str) -> DataFrame:
     """Dilation (how = max) or erosion (min, outside false) of a 0/1 column over 3 x 3."""
     f = F.max if how == "max" else F.min
-    rows, cols = ROW.rowsBetween(-1, 1), COLUMN.rowsBetween(-1, 1)
+    rows, cols = row().rowsBetween(-1, 1), column().rowsBetween(-1, 1)
     whole = F.count(F.lit(1)).over(rows) == 3
     a = f(name).over(rows) if how == "max" else F.when(whole, f(name).over(rows)).otherwise(0)
     df = df.withColumn("__a", a)
