@@ -7,7 +7,7 @@ is scored on the executors in one pass without a shuffle. Selection is by the ta
 
 Features are taken from the whole text: lower-case words, the first five letters of longer words, and
 classed shares (symbols, capitals, exclamation marks, bars, distinct words, equal neighbours). Features that fewer
-than ``MIN_ROWS`` sampled rows have, and words in over ``COMMON`` of them, weigh nothing.
+than ``MIN_ROWS`` sampled rows have weigh nothing.
 
 Defined cases: null text scores as empty; labels that are null or without a document are ignored, several for a
 document count as the worst; without labels there is no model: score and probabilities are null and all is kept;
@@ -29,7 +29,6 @@ from .common import fresh_name, table
 
 SIZE = 1 << 18
 MIN_ROWS = 3
-COMMON = 0.3
 SAMPLE = 8_000
 GRADES = 3
 _EDGE = ".,;:!?\"'()[]#*$%&|<>"
@@ -86,16 +85,17 @@ class Model:
         return float(self.weights[features(text)].sum())
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood of the cumulative-link model by Adam; the second threshold is the first plus exp(gap)."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-3) -> Model:
+    """Maximum likelihood of the cumulative-link model by Adam, whose steps shrink to zero; the second threshold is the first plus exp(gap)."""
     index = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen = np.bincount(index, minlength=SIZE)
-    useful = (seen >= MIN_ROWS) & (seen <= COMMON * len(rows))
+    useful = seen >= MIN_ROWS
     useful[[s for slots in _SHAPES.values() for s in slots]] = True
-    kept = useful[index]
-    used, index = np.unique(index[kept], return_inverse=True)
-    row = row[kept]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[useful[index]]
+    used = np.flatnonzero(useful & (seen > 0))
+    place = np.zeros(SIZE, np.intp)
+    place[used] = np.arange(len(used))
+    index = place[index[useful[index]]]
     n = len(rows)
     cumulative = [np.clip(np.mean(grades <= k), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)]
     start = [np.log(p / (1 - p)) for p in cumulative]
@@ -114,7 +114,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, rate: flo
         to_gap = -(np.where(grades == 1, du, 0.0) - np.where(grades == 2, dl, 0.0))
         grad = np.concatenate([np.bincount(index, (du - dl)[row], len(used)) / n + ridge * params[:-2], [to_low.mean(), to_gap.mean() * gap]])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-        params = params - rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+        params = params - rate * (1 - t / rounds) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(SIZE, np.float32)
     weights[used] = params[:-2]
     return Model(weights, np.array([params[-2], params[-2] + np.exp(params[-1])]))
