@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
 from itertools import repeat
 
+import numpy as np
+
 #: The pre-token patterns of the two public vocabularies, as in their files, with \p{L} and \p{N} in the
 #: words of Python's re. Where the two classes differ for a character, its texts are left to the library.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
@@ -19,6 +22,9 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"""
 #: Distinct pre-tokens that a worker remembers besides the vocabulary; older ones are merged again when needed.
 REMEMBERED = 250_000
 
+#: Characters of the longest run between white space that a worker remembers; longer ones are split each time.
+LONGEST_REMEMBERED = 48
+
 
 def byte_alphabet() -> dict[int, str]:
     """Byte-level vocabularies write a byte as itself where it prints, else as the next character from U+0100."""
@@ -27,6 +33,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class RunTable(dict):
+    """Run between white space -> value, for vocabularies whose pre-tokens hold no white space: most runs are one
+    look-up. A pre-token is a run too, so one table holds both. When it is full its entries become the older half,
+    of which those that are met again come back and the rest goes."""
+
+    def __init__(self, pieces: PieceTable):
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, run: str):
+        value = self.older.get(run)
+        if value is None:
+            parts = self.pieces.split(run)
+            value = self.pieces.merged(run) if parts == [run] else self.pieces._join([self[p] for p in parts])
+        if len(run) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[run] = value
+        return value
+
+
 class PieceTable(dict):
     """Pre-token -> value (its number of tokens, or its ids as bytes). A missing pre-token is merged by the library."""
 
@@ -45,9 +72,10 @@ class PieceTable(dict):
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in special.values()):
             raise ValueError("only plain special tokens are known here")
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.trusted: set[str] = set()
-        self.doubted: set[str] = set()
+        self.runs = RunTable(self)
+        self.known = np.zeros(sys.maxunicode + 1, np.uint8)  # of each character: 0 not met yet, 1 trusted, 2 doubted
         self.zero = 0 if self.counts else b""
+        self.id_bytes = [] if self.counts else [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         if self.counts:
             self.update(self.whole_tokens())
         self.base = len(self)
@@ -66,9 +94,14 @@ class PieceTable(dict):
                 proven[piece] = 1
         return proven
 
+    def merged(self, piece: str):
+        """Its value by the library's merges."""
+        plain = piece.isascii() and piece.isprintable() and " " not in piece  # written as itself
+        ids = self.model.tokenize(piece if plain else "".join(map(self.alphabet.__getitem__, piece.encode())))
+        return len(ids) if self.counts else b"".join([self.id_bytes[t.id] for t in ids])
+
     def __missing__(self, piece: str):
-        ids = self.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))
-        value = len(ids) if self.counts else b"".join(t.id.to_bytes(4, "little") for t in ids)
+        value = self.merged(piece)
         if len(self) > self.base + REMEMBERED:
             for _ in range(REMEMBERED):
                 self.popitem()  # the vocabulary came first, so it stays
@@ -79,7 +112,9 @@ class PieceTable(dict):
         return text.lower() if self.word_ends else text
 
     def _pieces(self, text: str):
-        return map(self.__getitem__, self.split(self._normal(text)))
+        if self.word_ends:
+            return map(self.runs.__getitem__, self._normal(text).split())
+        return map(self.__getitem__, self.split(text))
 
     def _join(self, values):
         return sum(values) if self.counts else b"".join(values)
@@ -102,14 +137,13 @@ class PieceTable(dict):
         return theirs == ["".join(map(self.alphabet.__getitem__, p.encode())) for p in self.split(self._normal(text))]
 
     def _safe(self, text: str) -> bool:
-        new = set(text) - self.trusted
-        if not new:
-            return self._composed(text)
-        if not new.isdisjoint(self.doubted):
-            return False
-        for c in new:
-            (self.trusted if self._agree(c) else self.doubted).add(c)
-        return new <= self.trusted and self._composed(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        met = self.known[codes]
+        if not met.all():
+            for c in np.unique(codes[met == 0]).tolist():
+                self.known[c] = 1 if self._agree(chr(c)) else 2
+            met = self.known[codes]
+        return int(met.max()) == 1 and self._composed(text)
 
     def _composed(self, text: str) -> bool:
         return not self.word_ends or unicodedata.is_normalized("NFC", text)
