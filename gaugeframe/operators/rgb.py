@@ -124,6 +124,12 @@ def high_frequency(df: DataFrame, cutoff: float = 0.25) -> DataFrame:
     return x.select("img", p.alias("pred_ratio"), g.alias("gt_ratio"), rel.alias("relative_diff"), F.abs(p - g).alias("absolute_diff"), kept.alias("preservation"))
 
 
+def high_frequency_over_images(scores: DataFrame) -> DataFrame:
+    """Mean shares; mean and population deviation of the finite differences."""
+    d = F.when(P.finite(F.col("relative_diff")), F.col("relative_diff"))
+    return scores.agg(F.avg("pred_ratio").alias("pred_ratio_mean"), F.avg("gt_ratio").alias("gt_ratio_mean"), F.avg(d).alias("relative_diff_mean"), F.stddev_pop(d).alias("relative_diff_std"))
+
+
 def spectrum_bands(df: DataFrame, bands: int = 4) -> DataFrame:
     """R10d: energy by radial band and how alike it is; the farthest corner is in none."""
     part = lambda s: spectrum(df, s).where("dist < 1").groupBy("img", F.floor(F.col("dist") * bands).cast("int").alias("band")).agg(F.sum("power").alias(s))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
-from ..operators import depth, rays, rgb, rules, sets, stencil
+from ..operators import depth, rays, resize, rgb, rules, sets, stencil
 from ..sources import adapters as A
 
 
@@ -148,6 +148,11 @@ QUERIES = {
     "A17_sparse_counters": _sparse,
     "P11_planar_to_radial": _radial,
     "P13_spatial_class": _spatial,
+    "P14_align_area": _over(A.grids, lambda d: resize.align_to_prediction(d, ["gt"], "depth", 8, 8, 3, 5)),
+    "P14_align_nearest": _over(A.grids, lambda d: resize.align_to_prediction(d, ["gt"], "depth", 8, 8, 11, 9)),
+    "P14_align_linear": _over(A.rgb, lambda d: resize.align_to_prediction(d, ["gr", "gg", "gb"], "rgb", 8, 8, 11, 10)),
+    "P12_normalised": _over(A.grids, lambda d: resize.normalised(d, "gt").select("img", "r", "c", "normalised")),
+    "A8_high_frequency_set": _over(A.rgb, lambda d: rgb.high_frequency_over_images(rgb.high_frequency(d))),
     "C_warnings": _warned,
     "A18_warning_summary": _warning_summary,
 }
@@ -333,6 +338,13 @@ ORACLES = {
     "A17_sparse_counters": f"WITH {PROJ} SELECT a.img, input_points, coalesce(projected_pixels, 0) AS projected_pixels, round(mean_depth, 6) AS mean_depth FROM (SELECT img, count(*) AS input_points FROM pt GROUP BY img) a LEFT JOIN (SELECT img, count(*) AS projected_pixels, avg(gt) AS mean_depth FROM pd GROUP BY img) b USING (img)",
     "P11_planar_to_radial": f"WITH {GRID} SELECT img, r, c, round(gt * sqrt(((c - 3.5) / 6) ** 2 + ((r - 3.5) / 7) ** 2 + 1), 6) AS radial FROM g",
     "P13_spatial_class": "WITH s AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS a, CAST(l_linenumber * 8 AS INTEGER) AS b FROM lineitem) SELECT a, b, CASE WHEN a % 4 = 0 THEN 'none' WHEN (a - a % 4) % 8 = 0 THEN 'vae_crop' ELSE 'resize' END AS how FROM s",
+    "A8_high_frequency_set": f"WITH {RGB}, {DFT}, h AS (SELECT img, sum(CASE WHEN dist > 0.75 THEN g ELSE 0 END) / sum(g) AS g, sum(CASE WHEN dist > 0.75 THEN p ELSE 0 END) / sum(p) AS p FROM f3 GROUP BY img) SELECT round(avg(p), 6) AS pred_ratio_mean, round(avg(g), 6) AS gt_ratio_mean, round(avg((p - g) / g), 6) AS relative_diff_mean, round(stddev_pop((p - g) / g), 6) AS relative_diff_std FROM h",
+    "P12_normalised": f"WITH {GRID}, m AS (SELECT img, min(gt) FILTER (WHERE gt > 0) AS a, max(gt) FILTER (WHERE gt > 0) AS b FROM g GROUP BY img) SELECT img, r, c, round(CASE WHEN gt > 0 AND b - a >= 1e-8 THEN (gt - a) / (b - a) ELSE 0 END, 6) AS normalised FROM g JOIN m USING (img)",
+    "P14_align_area": f"WITH {GRID}, o AS (SELECT img, y.t AS r, x.t AS c, gt, least((y.t + 1) * 8 / 3, g.r + 1) - greatest(y.t * 8 / 3, g.r) AS wy, least((x.t + 1) * 8 / 5, g.c + 1) - greatest(x.t * 8 / 5, g.c) AS wx FROM g, range(3) y(t), range(5) x(t)) SELECT img, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(sum(gt * wy * wx) / (64 / 15), 6) AS gt FROM o WHERE wy > 0 AND wx > 0 GROUP BY ALL",
+    "P14_align_nearest": f"WITH {GRID}, t AS (SELECT CAST(y.t AS INTEGER) AS tr, CAST(x.t AS INTEGER) AS tc, floor(y.t * 8 / 11) AS sr, floor(x.t * 8 / 9) AS sc FROM range(11) y(t), range(9) x(t)) SELECT img, tr AS r, tc AS c, round(gt, 6) AS gt FROM g JOIN t ON g.r = sr AND g.c = sc",
+    "P14_align_linear": f"WITH {RGB}, t AS (SELECT CAST(y.t AS INTEGER) AS tr, CAST(x.t AS INTEGER) AS tc, least(greatest((y.t + 0.5::DOUBLE) * 8 / 11 - 0.5, 0), 7) AS fy, least(greatest((x.t + 0.5::DOUBLE) * 8 / 10 - 0.5, 0), 7) AS fx FROM range(11) y(t), range(10) x(t)), "
+    "k AS (SELECT tr, tc, floor(fy) + dy.d AS sr, floor(fx) + dx.d AS sc, CASE dy.d WHEN 0 THEN 1 - fy + floor(fy) ELSE fy - floor(fy) END * CASE dx.d WHEN 0 THEN 1 - fx + floor(fx) ELSE fx - floor(fx) END AS w FROM t, range(2) dy(d), range(2) dx(d)) "
+    "SELECT img, tr AS r, tc AS c, round(sum(gr * w), 6) AS gr, round(sum(gg * w), 6) AS gg, round(sum(gb * w), 6) AS gb FROM g JOIN k ON g.r = sr AND g.c = sc GROUP BY ALL",
     "C_warnings": f"WITH {SCORES} SELECT img, metric, warning_type, round(observed, 6) AS observed FROM w",
     "A18_warning_summary": f"WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY metric, warning_type ORDER BY img) AS k FROM w) SELECT metric, warning_type, count(*) AS n, string_agg(CAST(CAST(round(observed, 4) AS DECIMAL(20, 4)) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 5) AS first_values FROM k GROUP BY metric, warning_type",
 }

@@ -81,3 +81,19 @@ def test_array_files(spark, tmp_path):
         np.save(tmp_path / f"s{i}" / "d.npy", np.arange(6, dtype=np.float32).reshape(2, 3) + i)
     got = {r.img + f"/{r.r}/{r.c}": r.d for r in arrays.to_pixels(arrays.read_depth(spark, str(tmp_path)), "d").collect()}
     assert len(got) == 12 and got["s1/d/1/2"] == 6.0
+
+
+def test_resize(spark):
+    from gaugeframe.operators import resize
+
+    assert [resize.method(*a) for a in (("depth", 9, 9, 9, 9), ("depth", 15, 9, 8, 8), ("mask", 9, 9, 3, 3), ("depth", 9, 9, 3, 3), ("rgb", 4, 4, 9, 9), ("depth", 4, 4, 9, 9))] == ["none", "crop", "nearest", "area", "linear", "nearest"]
+    with pytest.raises(ValueError):
+        resize.method("depth", 9, 9, 3, 10)
+    df = spark.createDataFrame([(1, r, c, float("nan") if (r, c) == (0, 0) else float(9 * r + c)) for r in range(9) for c in range(9)], "img long, r int, c int, v double")
+    cropped = resize.align_to_prediction(df, ["v"], "depth", 9, 9, 8, 8)
+    assert cropped.count() == 64 and cropped.agg({"v": "count"}).first()[0] == 64
+    mean = {(x.r, x.c): x.v for x in resize.align_to_prediction(df, ["v"], "depth", 9, 9, 3, 3).collect()}
+    assert len(mean) == 9 and mean[0, 0] != mean[0, 0] and mean[1, 1] == pytest.approx(40)
+    assert resize.align_to_prediction(df.limit(0), ["v"], "depth", 9, 9, 3, 3).count() == 0
+    flat = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, 2.0), (2, 0, 0, None), (2, 0, 1, -1.0)], "img long, r int, c int, d double")
+    assert {x.normalised for x in resize.normalised(flat, "d").collect()} == {0.0}
