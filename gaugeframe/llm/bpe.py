@@ -19,7 +19,8 @@ import numpy as np
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"""
 
-#: Distinct pre-tokens that a worker remembers besides the vocabulary; older ones are merged again when needed.
+#: Distinct pre-tokens (or runs in each half of the run table) that a worker remembers besides the vocabulary; others
+#: are merged again when needed.
 REMEMBERED = 250_000
 
 #: Characters of the longest run between white space that a worker remembers; longer ones are split each time.
@@ -38,8 +39,8 @@ class RunTable(dict):
     look-up. A pre-token is a run too, so one table holds both. When it is full its entries become the older half,
     of which those that are met again come back and the rest goes."""
 
-    def __init__(self, pieces: PieceTable):
-        self.pieces, self.older = pieces, {}
+    def __init__(self, pieces: PieceTable, remembered: int):
+        self.pieces, self.remembered, self.older = pieces, remembered, {}
 
     def __missing__(self, run: str):
         value = self.older.get(run)
@@ -47,7 +48,7 @@ class RunTable(dict):
             parts = self.pieces.split(run)
             value = self.pieces.merged(run) if parts == [run] else self.pieces._join([self[p] for p in parts])
         if len(run) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[run] = value
@@ -57,7 +58,7 @@ class RunTable(dict):
 class PieceTable(dict):
     """Pre-token -> value (its number of tokens, or its ids as bytes). A missing pre-token is merged by the library."""
 
-    def __init__(self, path: str, values: str):
+    def __init__(self, path: str, values: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,7 +73,7 @@ class PieceTable(dict):
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in special.values()):
             raise ValueError("only plain special tokens are known here")
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.runs = RunTable(self)
+        self.runs = RunTable(self, remembered)
         self.known = np.zeros(sys.maxunicode + 1, np.uint8)  # of each character: 0 not met yet, 1 trusted, 2 doubted
         self.zero = 0 if self.counts else b""
         self.id_bytes = [] if self.counts else [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -165,11 +166,12 @@ class PieceTable(dict):
         return self._join(out)
 
 
-_TABLES: dict[tuple[str, str], PieceTable] = {}
+_TABLES: dict[tuple[str, str, int], PieceTable] = {}
 
 
-def piece_table(path: str, values: str) -> PieceTable:
-    """One table for each worker process."""
-    if (path, values) not in _TABLES:
-        _TABLES[path, values] = PieceTable(path, values)
-    return _TABLES[path, values]
+def piece_table(path: str, values: str, remembered: int = REMEMBERED) -> PieceTable:
+    """One table for each worker process. remembered: runs in each half of its run table."""
+    key = path, values, remembered
+    if key not in _TABLES:
+        _TABLES[key] = PieceTable(*key)
+    return _TABLES[key]

@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, path: s
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import piece_table
 
-        known, end = piece_table(path or default_tokenizer(vocabulary), "ids"), end_id.to_bytes(4, "little")
+        known, end = piece_table(path or default_tokenizer(vocabulary), "ids", 125_000), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
