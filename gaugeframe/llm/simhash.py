@@ -252,6 +252,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def kept(docs: DataFrame, found: DataFrame, mark: Column) -> DataFrame:
+    """docs with one document of each class: the one with the least id (of rows that repeat it, the one whose values
+    sort first). Rows without an id stay only where no document with an id shares their class. found: (doc_id, key,
+    class) of each row; mark: the key of a row of docs, evaluated only for rows whose id is null or has several keys."""
+    columns = docs.columns
+    least = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
+    single = least.where("doc_id is not null").join(several, "doc_id", "left_anti").select("doc_id")
+    row, key = fresh_name(docs, "row_number"), fresh_name(docs, "key")
+    first = docs.join(single, "doc_id", "left_semi").select(columns)
+    first = first.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(*columns))).where(F.col(row) == 1).drop(row)
+    odd = docs.where("doc_id is null").unionByName(docs.join(several, "doc_id", "left_semi").select(columns))
+    odd = odd.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("own"), mark.alias(key))
+    named = found.select(F.col("key").alias(key), "class").distinct().join(least, "class")
+    odd = odd.join(named, key).where(F.col("own").eqNullSafe(F.col("doc_id"))).groupBy("class").agg(F.min("row").alias("row"))
+    return first.unionByName(odd.select("row.*"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the least id (of repeated rows, the one whose values sort
     first). Rows without an id stay only where no document with an id shares their class."""
