@@ -7,28 +7,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kernel_distance(a: DataFrame, b: DataFrame, subsets: int = 1, size: int = 1000) -> DataFrame:
-    """mean and deviation over seeded subsets of the unbiased squared discrepancy with k = (x.y / d + 1)^3, for
-    features (id, x). A subset has ``size`` rows at most, so one of its sides may be broadcast; sets that are no
-    larger are taken whole, and every subset is then the same."""
+#: Numbers in a block of features, vectors in a chunk that meets it, and kernel values computed at a time.
+BLOCK, CHUNK, CELLS = 1 << 20, 250, 1 << 20
+
+
+def kernel_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """unbiased squared discrepancy with k = (x.y / d + 1)^3 over all features (id, x) of both sides."""
+    na, nb = a.count(), b.count()
+    if min(na, nb) < 2:
+        raise ValueError("two features a side are needed")
+    return _discrepancy(_sides(a, b).withColumn("subset", F.lit(0)), na + nb).select("kid")
+
+
+def kernel_distance_subsets(a: DataFrame, b: DataFrame, subsets: int = 100, size: int = 1000) -> DataFrame:
+    """F3 as the reference takes it: mean and deviation over seeded subsets of ``size`` features a side, or as many as
+    the smaller side has."""
     n = min(size, a.count(), b.count())
     if n < 2:
         raise ValueError("two features a side are needed")
-    parts = [_discrepancy(*(df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n) if n == size else df for df in (a, b))) for seed in range(subsets)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.avg("kid").alias("kid"), F.stddev_pop("kid").alias("kid_std"))
-
-
-def _discrepancy(a: DataFrame, b: DataFrame) -> DataFrame:
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    k = F.pow(dot / F.size("x") + 1, 3)
-    both = a.select("id", "x", F.lit(0).alias("side")).unionByName(b.select("id", "x", F.lit(1).alias("side")))
-    other = both.select(F.col("id").alias("jd"), F.col("x").alias("y"), F.col("side").alias("other"))
-    pairs = both.join(F.broadcast(other), ~((F.col("side") == F.col("other")) & (F.col("id") == F.col("jd"))))
-    cell = lambda p, q: F.avg(F.when((F.col("side") == p) & (F.col("other") == q), F.col("k")))
-    return pairs.select("side", "other", k.alias("k")).agg((cell(0, 0) + cell(1, 1) - 2 * cell(0, 1)).alias("kid"))
+    seeds = a.sparkSession.range(subsets).select(F.col("id").cast("int").alias("subset"))
+    dealt = Window.partitionBy("subset", "side").orderBy(F.xxhash64("id", "subset"), "id")
+    chosen = _sides(a, b).crossJoin(F.broadcast(seeds)).withColumn("k", F.row_number().over(dealt)).where(F.col("k") <= n).drop("k")
+    return _discrepancy(chosen, 2 * n).agg(F.avg("kid").alias("kid"), F.stddev_pop("kid").alias("kid_std"))
+
+
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("id", "x", F.lit(0).alias("side")).unionByName(b.select("id", "x", F.lit(1).alias("side")))
+
+
+def _discrepancy(both: DataFrame, n: int) -> DataFrame:
+    """(subset, kid) for features (subset, side, id, x), about n a subset. Chunks of one copy meet every block of the
+    other, so a task holds one of each, whatever the size of the sets."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    d = len(both.select("x").first()[0])
+    blocks, chunks = -(-n * d // BLOCK), -(-n // CHUNK)
+    part = lambda k: F.pmod(F.xxhash64("id", "side"), F.lit(k)).cast("int")
+    gather = lambda k, names: both.groupBy("subset", part(k).alias("part")).agg(*(F.collect_list(F.struct("side", "id", "x")).getField(c).alias(f"{c}{names}") for c in ("side", "id", "x")))
+    left = gather(chunks, 1).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = gather(blocks, 2).withColumnRenamed("part", "block")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                subset, *columns = (c[r] for c in batch.columns)
+                s1, i1, s2, i2 = (c.values.to_numpy(zero_copy_only=False) for c in columns[:4])
+                x, y = (c.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for c in columns[4:])
+                total, count = np.zeros((2, 2)), np.zeros((2, 2), np.int64)
+                step = max(1, CELLS // len(s1))
+                for k in range(0, len(s2), step):
+                    kernel = (x @ y[k : k + step].T / d + 1) ** 3
+                    same = (i1[:, None] == i2[None, k : k + step]) & (s1[:, None] == s2[None, k : k + step])
+                    for p in (0, 1):
+                        for q in (0, 1):
+                            held = (s1 == p)[:, None] & (s2[k : k + step] == q)[None, :] & ~same
+                            total[p, q] += kernel[held].sum()
+                            count[p, q] += held.sum()
+                rows = [(subset.as_py(), p, q, total[p, q], int(count[p, q])) for p in (0, 1) for q in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["subset", "p", "q", "total", "n"])
+
+    pairs = left.join(right, ["subset", "block"]).select("subset", "side1", "id1", "side2", "id2", "x1", "x2")
+    cells = pairs.mapInArrow(sums, "subset int, p int, q int, total double, n long")
+    cell = lambda p, q: F.sum(F.when((F.col("p") == p) & (F.col("q") == q), F.col("total"))) / F.sum(F.when((F.col("p") == p) & (F.col("q") == q), F.col("n")))
+    return cells.groupBy("subset").agg((cell(0, 0) + cell(1, 1) - 2 * cell(0, 1)).alias("kid"))
 
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

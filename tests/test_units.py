@@ -51,6 +51,20 @@ def test_frechet(spark):
     assert sets.frechet_distance(make(a), make(a + 2)) == pytest.approx(12, rel=1e-6)
 
 
+def test_kernel_distance(spark, monkeypatch):
+    """Over all features, also where there are more than 1000 a side and several blocks."""
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(1300, 3)), r.normal(size=(1100, 3)) + 0.1
+    make = lambda x: spark.createDataFrame([(i, [float(q) for q in v]) for i, v in enumerate(x)], "id long, x array<double>")
+    k = lambda x, y: (x @ y.T / 3 + 1) ** 3
+    mean = lambda x: (k(x, x).sum() - np.trace(k(x, x))) / len(x) / (len(x) - 1)
+    monkeypatch.setattr(sets, "BLOCK", 3 * 700)
+    assert sets.kernel_distance(make(a), make(b)).first().kid == pytest.approx(mean(a) + mean(b) - 2 * k(a, b).mean(), abs=1e-9)
+    whole = sets.kernel_distance_subsets(make(a[:50]), make(b[:50]), subsets=3).first()
+    assert whole.kid == pytest.approx(mean(a[:50]) + mean(b[:50]) - 2 * k(a[:50], b[:50]).mean(), abs=1e-9) and whole.kid_std == pytest.approx(0, abs=1e-9)
+    assert sets.kernel_distance_subsets(make(a), make(b), subsets=4, size=40).first().kid_std > 0
+
+
 def test_selectors_and_config():
     m = config.parse_selector("/data/x:val#scope=left", "rgb")
     assert (m.path, m.split, m.metadata_scope) == ("/data/x", "val", "left")
