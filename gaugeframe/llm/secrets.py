@@ -41,11 +41,27 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:\r?\n[A-Za-z0-9+/_-]{18,})*(?:\r?\n[A-
 STANDARD = str.maketrans("-_", "+/")
 #: How base64 of gzip, zstandard, bzip2 and xz data begins.
 MAGIC = re.compile(r"H4sI|KLUv|Qlpo|/Td6WFo")
+#: A last line of wrapped base64 that is short and has no padding.
+TAIL = re.compile(r"\r?\n[A-Za-z0-9+/_-]{1,17}(?![A-Za-z0-9+/_=-])")
 #: Decoded bytes without any of these hold neither a secret nor a further layer.
 HINT = re.compile(rb"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|U\+[0-9a-f]{4}|[a-z0-9+/_-]{18}|\xef[\xbc\xbd]")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|U\+([0-9A-Fa-f]{4,6})|([\uff01-\uff5e])")
 MAX_INFLATED = 16 << 20
+
+
+def _zlib_starts() -> re.Pattern:
+    """Where base64 of zlib data may begin: each valid pair of header bytes (no preset dictionary) is two characters
+    and the upper bits of a third."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    found = []
+    for head in (c << 8 | f for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32):
+        third = (head & 15) << 2
+        found.append(re.escape(letters[head >> 10] + letters[head >> 4 & 63]) + f"[{re.escape(letters[third : third + 4])}]")
+    return re.compile(f"(?={'|'.join(found)})")
+
+
+ZLIB = _zlib_starts()
 OVERLAP = 1 << 16
 
 Span = tuple[int, int, int]
@@ -199,9 +215,12 @@ def _runs(layer: Layer, most: int) -> Iterator[Layer]:
             for line in m[0].split("\n"):
                 candidates.append([(i, c) for i, c in enumerate(line, at) if c not in "=\r"])
                 at += len(line) + 1
+        tail = TAIL.match(layer.text, m.end()) if m[0][-1] != "=" else None
+        if tail:  # or a line of other text, so the run without it stays a candidate
+            candidates.append(candidates[0] + [(i, c) for i, c in enumerate(tail[0], tail.start()) if c not in "\r\n"])
         for places in candidates:
             run = "".join(c for _, c in places).translate(STANDARD)
-            for skip in dict.fromkeys([0, 1, 2, 3, *(x.start() for x in MAGIC.finditer(run))]):
+            for skip in dict.fromkeys([0, 1, 2, 3, *(x.start() for pattern in (MAGIC, ZLIB) for x in pattern.finditer(run))]):
                 body = run[skip:]
                 body = body[:-1] if len(body) % 4 == 1 else body
                 data = binascii.a2b_base64(body + "=" * (-len(body) % 4))

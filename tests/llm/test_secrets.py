@@ -56,6 +56,28 @@ def test_nested_layers_map_to_the_text(hidden):
         assert S.redact(text).startswith(before)
 
 
+@pytest.mark.parametrize("prefix", ["path/", "blob_", "a/longer/path/", "x" * 21])
+@pytest.mark.parametrize("bits", [9, 12, 15])
+@pytest.mark.parametrize("level", [1, 5, 6, 9])
+def test_zlib_behind_a_path(prefix, bits, level):
+    tool = zlib.compressobj(level, zlib.DEFLATED, bits)
+    hidden = b64(tool.compress(b"user: me; " + SECRET.encode()) + tool.flush()).rstrip("=")
+    text = f"see {prefix}{hidden} there"
+    assert any(k == 0 and b == 4 + len(prefix + hidden) for _, k, b in S.all_spans(text)[1])
+    assert hidden not in S.redact(text)
+
+
+@pytest.mark.parametrize("short", [4, 8, 12, 16])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_short_last_line_without_padding(short, newline):
+    n = (2 * 76 + short) // 4 * 3
+    hidden = newline.join(re.findall(".{1,76}", b64(("long prefix " * 20)[: n - len(SECRET) - 1] + " " + SECRET)))
+    assert len(hidden.split(newline)[-1]) == short and "=" not in hidden
+    for after in ("", "\nNext line", " and more"):
+        assert any(k == 0 and b == len(hidden) for _, k, b in S.all_spans(hidden + after)[1])
+        assert hidden.split(newline)[-1] not in S.redact(hidden + after)
+
+
 def test_clean_text_and_bomb():
     text = "An ordinary sentence with averyveryverylongwordthatlookslikenothing, 100%% and \\unit &# %zz."
     assert S.all_spans(text) == ([], []) and S.redact(text) == text
