@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The word of every contract of this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that are sent to every executor at most, some tens of MB.
+BROADCAST_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +53,29 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The texts of a column, null as empty, a few hundred at a time, so that no batch is in memory as Python strings."""
+    for k in range(0, len(column), 500):
+        for text in column.slice(k, 500).to_pylist():
+            yield text or ""
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def ascii_lower(text: str) -> str:
+    """text with A-Z in lower case, other letters as they are."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """df joined (semi or anti) with keys, one column of at most eight-byte values or short ids. Up to
+    ``BROADCAST_KEYS`` of them, counted first, are sent to every executor, so wide rows are not shuffled; more are
+    joined by a shuffle."""
+    keys = cut(keys.distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how).select(df.columns)
+
+
 def default_tokenizer(name: str) -> str:
     """The place of a public tokenizer's file on this machine (driver or executor)."""
     import public_tokenizers

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, default_tokenizer, table
+from .common import cut, default_tokenizer, table, texts_of
 
 #: Pieces for each bucket of ranks, about.
 BUCKET_ROWS = 20_000
@@ -81,19 +81,18 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, path: s
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import piece_table
 
-        known, end = piece_table(path or default_tokenizer(vocabulary), "ids", 125_000), end_id.to_bytes(4, "little")
+        known, end = piece_table(path or default_tokenizer(vocabulary), "ids"), np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = known.value(text or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((i, start, len(part) // 4, zlib.crc32(part), n, part))
+            for i, found in enumerate(known.ids(texts_of(batch.column(1)))):
+                ids = np.concatenate([found, end])
+                for start in range(0, len(ids), capacity):
+                    part = ids[start : start + capacity]
+                    rows.append((i, start, len(part), zlib.crc32(part), len(ids), part if with_ids else None))
             taken, start, length, crc, total, part = zip(*rows, strict=True) if rows else ([],) * 6
             columns = [batch.column(0).take(pa.array(taken, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in part], pa.list_(pa.int32())))
+                columns.append(pa.array([p.astype(np.int32) for p in part], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, fresh_path, table
+from .common import default_tokenizer, fresh_path, table, texts_of
 
 LENGTH, SHARD_RECORDS, ROUNDS = 1024, 4096, 6
 
@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path:
 
         from .bpe import piece_table
 
-        known, end = piece_table(path or default_tokenizer(vocabulary), "ids"), end_id.to_bytes(4, "little")
+        known, end = piece_table(path or default_tokenizer(vocabulary), "ids"), np.array([end_id], "<u4")
         width = known.library.get_vocab_size()
         kind = np.dtype("<u2") if width <= 1 << 16 else np.dtype("<u4")
         part, place, held, held_n, pieces = TaskContext.get().partitionId(), 0, [], 0, []
@@ -105,8 +105,8 @@ def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(known.value(text or "") + end, "<u4").astype(kind)
+            for doc_id, found in zip(batch.column(0).to_pylist(), known.ids(texts_of(batch.column(1))), strict=True):
+                ids = np.concatenate([found, end]).astype(kind)
                 start = 0
                 while start < len(ids):
                     n = min(length - held_n, len(ids) - start)

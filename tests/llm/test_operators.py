@@ -149,3 +149,28 @@ def test_token_files(spark, tmp_path):
     for i, t in enumerate(TEXTS):
         assert sum((x for _, x in sorted(parts[None if i == 3 else i])), []) == [*library.encode(t or "").ids, 49407]
     assert sorted(token_files.materialise(docs_of(spark), folder, length=64, shard_records=7).collect()) == rows
+
+
+@pytest.mark.parametrize("chunk,stripe,run_bytes", [(1 << 21, 1 << 18, 1 << 25), (300, 64, 640)])
+def test_array_encoder_equals_the_library(monkeypatch, chunk, stripe, run_bytes):
+    """Any white space, runs around the longest that is remembered, punctuation, other scripts, texts beyond a chunk."""
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "STRIPE", stripe)
+    monkeypatch.setattr(bpe, "_HASHES", [])
+    path = default_tokenizer("word_bpe_49k.json")
+    table, library = bpe.PieceTable(path, "ids", run_bytes), Tokenizer.from_file(path)
+    r = random.Random(3)
+    parts = ["the", "Don't", "it's", "x" * 48, "x" * 49, "y" * 130, "a_b", "1234", "café", "Слово", "naïve,", "(brackets)", "日本", "<|endoftext|>", "é", "a b", " ", "\x1c", "..."]
+    texts = ["", " ", "\n"] + [r.choice((" ", "\n", "\t ", "\x0b")).join(r.choice(parts) if r.random() < 0.6 else "".join(r.choices("abcde,.'", k=r.randint(1, 12))) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    texts.append(" ".join(r.choice(parts[:7]) for _ in range(5000)))
+    for _ in range(2):
+        for text, got in zip(texts, table.ids(texts), strict=True):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_hashes_that_disagree_send_texts_the_plain_way(monkeypatch):
+    path = default_tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(bpe, "_HASHES", [bpe._Hash(1), bpe._Hash(0x9E3779B97F4A7C15)])  # the first only adds bytes up
+    table, library = bpe.PieceTable(path, "ids"), Tokenizer.from_file(path)
+    texts = ["on a saw, no was", "stop pots", "tops opts"]
+    assert [x.tolist() for x in table.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
