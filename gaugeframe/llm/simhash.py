@@ -28,10 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, table
+from . import jaccard
+from .common import ascii_lower, cut, narrowed, table
 from .components import components
 
 BITS, MOST, SHINGLE = 64, 4, 4
@@ -83,13 +84,6 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return F.pandas_udf(typed, "long")(text)
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
 @cache
 def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each of the 2048 syndromes its error patterns of weight 5 or less, lightest first: (patterns, weights,
@@ -252,38 +246,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _apart(pairs: DataFrame, near_to: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that are not in one class of near_to (node, component) yet."""
+    of = lambda c: near_to.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("u_class", "u") != F.coalesce("v_class", "v")).select("u", "v")
+
+
+def similar(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarity: tuple[int, int] = jaccard.SIMILARITY, **sizes: int) -> DataFrame:
+    """(doc_id, key, class) for each row of docs: key is the node of its text (its set of shingles), class the least
+    node that a chain of texts of that Jaccard similarity or more leads to. Anchors propose the links within ``MOST``
+    bits, which are checked; texts at the threshold differ in some 10 of 64 bits, beyond the reach of any anchors, so
+    prefix filtering then finds all links between the classes so far. sizes: small, part and tile of jaccard."""
+    known = jaccard.nodes(docs, shingle)
+    texts = known.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"))
+    prints = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    same = texts.join(prints.withColumnRenamed("node", "u"), "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    close = links(prints, prints.count() > PAIRED_FROM).union(same)
+    close = jaccard.compared(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), docs, known, shingle, similarity)
+    pairs, large = jaccard.proposed(docs, known, shingle, similarity, sizes.get("small", jaccard.SMALL), sizes.get("part", jaccard.PART))
+    close = cut(close.union(jaccard.compared(_apart(pairs, components(close)), docs, known, shingle, similarity)))
+    near_to = cut(components(close))
+    more = cut(jaccard.remaining(large, near_to, known, similarity, sizes.get("tile", jaccard.TILE)))
+    if not more.isEmpty():
+        near_to = components(close.union(jaccard.compared(more, docs, known, shingle, similarity)))
+    near_to = near_to.select("node", F.col("component").alias("class"))
+    return known.join(near_to, "node", "left").select("doc_id", F.col("node").alias("key"), F.coalesce("class", "node").alias("class"))
+
+
 def kept(docs: DataFrame, found: DataFrame, mark: Column) -> DataFrame:
     """docs with one document of each class: the one with the least id (of rows that repeat it, the one whose values
-    sort first). Rows without an id stay only where no document with an id shares their class. found: (doc_id, key,
-    class) of each row; mark: the key of a row of docs, evaluated only for rows whose id is null or has several keys."""
-    columns = docs.columns
-    least = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
-    single = least.where("doc_id is not null").join(several, "doc_id", "left_anti").select("doc_id")
-    row, key = fresh_name(docs, "row_number"), fresh_name(docs, "key")
-    first = docs.join(single, "doc_id", "left_semi").select(columns)
-    first = first.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(*columns))).where(F.col(row) == 1).drop(row)
-    odd = docs.where("doc_id is null").unionByName(docs.join(several, "doc_id", "left_semi").select(columns))
-    odd = odd.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("own"), mark.alias(key))
-    named = found.select(F.col("key").alias(key), "class").distinct().join(least, "class")
-    odd = odd.join(named, key).where(F.col("own").eqNullSafe(F.col("doc_id"))).groupBy("class").agg(F.min("row").alias("row"))
-    return first.unionByName(odd.select("row.*"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one with the least id (of repeated rows, the one whose values sort
-    first). Rows without an id stay only where no document with an id shares their class."""
-    found = classes(docs)
-    keepers = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id")
-    row = fresh_name(docs, "row_number")
-    repeated = docs.join(keepers, "doc_id", "left_semi").select(docs.columns)
-    first = repeated.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))).where(F.col(row) == 1).drop(row)
-    nameless = docs.where("doc_id is null")
-    lone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    key = fresh_name(docs, "fp")
-    nameless = nameless.withColumn(key, fingerprints(F.coalesce("text", F.lit(""))))
-    nameless = nameless.join(lone.withColumnRenamed("fp", key), key, "left_semi").dropDuplicates([key]).select(docs.columns)
-    return first.unionByName(nameless)
+    as JSON sort first). Rows without an id stay only where no document with an id shares their class, one of a class.
+    found: (doc_id, key, class) of each row; mark: the key of a row of docs, evaluated only for rows whose id is null
+    or repeated. Texts are shuffled for those rows only."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = found.groupBy("class").agg(F.min("doc_id").alias("least"))
+    ids = found.where("doc_id is not null").join(least, "class").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("doc_id") == F.col("least")).alias("first"))
+    single = narrowed(docs.where("doc_id is not null"), ids.where("n > 1 or not first").select("doc_id"), "doc_id", "left_anti")
+    odd = docs.where("doc_id is null").unionByName(narrowed(docs, ids.where("n > 1").select("doc_id"), "doc_id", "left_semi"))
+    odd = odd.select(row.alias("row"), F.to_json(row).alias("sort"), F.col("doc_id").alias("own"), mark.alias("key"))
+    named = found.select("key", "class").distinct().join(least, "class")
+    odd = odd.join(named, "key").where(F.col("own").eqNullSafe(F.col("least"))).groupBy("class").agg(F.min_by("row", "sort").alias("row"))
+    return single.unionByName(odd.select("row.*"))
+
+
+def keep_one(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
+    """docs with one document of each class of ``similar``, as ``kept`` says."""
+    return kept(docs, cut(similar(docs, shingle, similarity)), jaccard.node(F.col("text"), shingle))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

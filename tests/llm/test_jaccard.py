@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gaugeframe.llm import jaccard as J
+from gaugeframe.llm import simhash as S
 
 
 def brute_keepers(rows):
@@ -35,12 +36,14 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("small", [J.SMALL, 2])
-def test_no_near_pair_is_missed(spark, small):
-    rows = corpus(small)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+@pytest.mark.parametrize("sample", [J.SAMPLE, 100, 0])
+@pytest.mark.parametrize("sizes", [{}, {"small": 2, "part": 10, "tile": 7}])
+def test_no_near_pair_is_missed(spark, monkeypatch, sizes, sample):
+    monkeypatch.setattr(J, "SAMPLE", sample)
+    rows = corpus(len(sizes))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     least = {}
-    for x in J.classes(docs, small=small).collect():
+    for x in S.similar(docs, **sizes).collect():
         least[x["class"]] = min(x.doc_id, least.get(x["class"], x.doc_id))
     assert sorted(least.values()) == brute_keepers(rows)
 
@@ -56,6 +59,15 @@ def test_the_stage_drops_near_copies(spark):
 
 
 def test_prefix_order_is_the_same_for_all():
-    h = np.array([1, 5, 7, 9])
-    assert J.ordered(h, np.array([5, 8]), np.array([1, 0]), 3).tolist() == [1, 7, 9]
-    assert J.ordered(h, np.array([1, 5]), np.array([1, 0]), 4).tolist() == [7, 9, 5, 1]
+    """Half of the shingles is counted; of the others the common ones come last, the rarest of them first."""
+    h = np.sort(J.mixed(np.arange(1, 41, dtype=np.uint64)).view(np.int64))
+    counted = h[h >> 40 & 1 == 1]
+    rest = h[h >> 40 & 1 == 0]
+    common = np.sort(np.append(rest[:2], counted[:1]))
+    ranks = np.array([2, 0, 1])
+    first, beyond, place = J.dealt(h, common, ranks, 40)
+    assert first.tolist() == [x for x in counted if x not in common]
+    tail = [common[np.flatnonzero(ranks == k)[0]] for k in range(3)]
+    assert beyond.tolist() == [x for x in rest if x not in common] + tail and place[-3:].tolist() == [1, 2, 0]
+    assert J.dealt(h, common, ranks, len(first) + 3)[1].tolist() == beyond[:3].tolist()
+    assert len(J.dealt(h, common, ranks, 3)[1]) == 0
