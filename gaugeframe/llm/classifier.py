@@ -21,11 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, table
+from .common import fresh_name, table, texts_of
 
 SIZE = 1 << 18
 MIN_ROWS = 3
@@ -45,7 +45,7 @@ class _Slots(dict):
     """Word -> slots of its features; forgotten when there are too many."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         bare = word.strip(_EDGE)
         value = self[word] = (*((_slot("w " + bare),) if bare else ()), *((_slot("p " + bare[:5]),) if len(bare) > 6 else ()))
@@ -125,10 +125,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | Non
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    @F.pandas_udf("array<int>")
-    def slots(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t or "") for t in texts])
+    def slots(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([features(t) for t in texts_of(texts)], pa.list_(pa.int32()))
 
+    slots.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    slots = F.arrow_udf(slots, "array<int>")
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", slots("text").alias("slots")).toArrow()  # of ``most`` ids
     if not found.num_rows:
         return None
@@ -139,15 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | Non
 
 
 def scores(text: Column, model: Model) -> Column:
-    def batchwise(batches):
+    def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([model.score(t or "") for t in texts], dtype="float64")
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from batchwise(batches)
+            yield pa.array([model.score(t) for t in texts_of(texts)], pa.float64())
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(typed, "double")(text)
+    typed.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(typed, "double")(text)
 
 
 def _tail(score: Column, threshold: float) -> Column:

@@ -23,13 +23,12 @@ import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, table
+from .common import fresh_name, table, texts_of
 
 KINDS = ("assign", "access", "hex")
 #: The three base rules.
@@ -278,8 +277,8 @@ def scan_secrets(docs: DataFrame, max_inflated: int = MAX_INFLATED) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                base, spans = all_spans(text or "", max_inflated)
+            for text in texts_of(batch.column(1)):
+                base, spans = all_spans(text, max_inflated)
                 kinds = [k for _, k, _ in base]
                 rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -310,13 +309,15 @@ def redact(text: str, mark: str = "[SECRET]", max_inflated: int = MAX_INFLATED)
 def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in text replaced, and n_chars set anew where that changed it; other columns as they are.
     Null text stays null."""
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([None if t is None else redact(t, mark) for t in texts], dtype=object)
+            yield pa.array([redact(t, mark) for t in texts_of(texts)], pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
+    clean.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     new = fresh_name(docs, "redacted")
-    out = docs.withColumn(new, clean("text"))
+    out = docs.withColumn(new, F.arrow_udf(clean, "string")("text"))
     changed = ~F.col(new).eqNullSafe(F.col("text"))
     columns = {"text": F.col(new), "n_chars": F.when(changed, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col(new)}
     return out.select(*(columns[c].alias(c) if c in columns else out[c] for c in docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import ascii_lower, cut, narrowed, table
+from .common import ascii_lower, cut, narrowed, table, texts_of
 from .components import components
 
 BITS, MOST, SHINGLE = 64, 4, 4
@@ -49,8 +49,6 @@ CHUNK = 20_000
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """The 64-bit SimHash of each text as a signed long: a bit is set if it is in over half the XXH64 hashes (seed 42)
     of the word shingles, repeats included."""
-    import pandas as pd
-
     def hashes(t: str) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
@@ -64,10 +62,10 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
         starts = [0, *ends[:-1].tolist()]
         return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)], np.uint64)
 
-    def batchwise(batches):
+    def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = np.zeros(len(texts), np.uint64)
-            for i, t in enumerate(texts):
+            for i, t in enumerate(texts_of(texts)):
                 h = hashes(t) if t else ()
                 if len(h):
                     counts = np.zeros(64, np.int64)
@@ -75,13 +73,10 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
                         part = h[k : k + 65_536]
                         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                     out[i] = np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
-            yield pd.Series(out.view(np.int64))
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from batchwise(batches)
+            yield pa.array(out.view(np.int64))
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(typed, "long")(text)
+    typed.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(typed, "long")(text)
 
 
 @cache

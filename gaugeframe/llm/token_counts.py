@@ -12,26 +12,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, table
+from .common import default_tokenizer, table, texts_of
 
 
 def n_tokens(text: Column, vocabulary: str = "byte_bpe_50k.json", path: str | None = None) -> Column:
     """Tokens of each text as the tokenizers library gives them, without added begin and end. path: the vocabulary's
     file on the executors; by default the public file of that name."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from .bpe import piece_table
 
         pieces = piece_table(path or default_tokenizer(vocabulary), "counts")
         for texts in batches:
-            yield pd.Series([pieces.value(t) if t else 0 for t in texts], dtype="int64")
+            yield pa.array([pieces.value(t) for t in texts_of(texts)], pa.int64())
 
-    return count(text)
+    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(count, "long")(text)
 
 
 def token_counts(docs: DataFrame, limit: int = 512, **tokenizer: str) -> DataFrame:
