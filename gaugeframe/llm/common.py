@@ -14,10 +14,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that are sent to every executor at most, some tens of MB.
 BROADCAST_KEYS = 500_000
+#: Of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches on their way to Python hold 64 MB by default, several times over in the JVM and in a worker; texts need
+    no such batches. A setting that is smaller already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus; the path may be in any store that Spark reads."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df in the shared folder: computed once, and still there when an executor is lost."""
     shared_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,14 +1,17 @@
 """Secret scans: a worklist of layers, unwrapped until nothing new appears.
 
 Each text is the first layer. From a layer come its children: the layer with percent escapes decoded, the layer with
-Unicode escapes and full-width forms decoded, and the contents of every base64 run (plain, or inflated when they are
-gzip, zlib, bzip2, xz or zstandard data). Layers seen before are not opened again, which ends cycles. Every layer is
-scanned by the same three rules, and a span found in it is mapped back, character by character, to the text.
-One scan of the table with one Arrow function: no shuffle.
-
-Defined cases: null text counts as empty; repeated rows and rows with a null id give a row each; an empty table gives
-no rows; further columns are ignored. A compressed run that inflates to more than ``max_inflated`` bytes, a parameter
-that bounds a worker's memory, is scanned in windows of that size, which overlap by 64 KB.
+Unicode escapes and full-width forms decoded, and the contents of every base64 run, on one line or wrapped at any
+column, plain or compressed by gzip, zlib, bzip2, xz or zstandard (several times over, in several members, and from any
+place of the run on). Layers seen before are not opened again, which ends cycles. Every layer is scanned by the same
+three rules, and a span found in it is mapped back, character by character, to the text; a span in compressed data is
+the compressed run. A run is decoded once for each of its four alignments, and compressed data are read as a stream, so
+the work grows in proportion to the run. One scan of the table with one Arrow function: no shuffle.
+
+Defined cases: null text counts as empty; texts of any length are scanned whole; repeated rows and rows with a null id
+give a row each; an empty table gives no rows; further columns are ignored. What inflates to more than ``max_inflated``
+bytes, a parameter that bounds a worker's memory, is scanned in windows of that size, which overlap by 64 KB; there a
+base64 run that is itself longer than a window is decoded window by window.
 """
 
 from __future__ import annotations
@@ -35,13 +38,12 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: The shortest secret of any rule has 13 characters (api key names aside), so its base64 form has 18 or more.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:\r?\n[A-Za-z0-9+/_-]{18,})*(?:\r?\n[A-Za-z0-9+/_-]{1,17}(?==))?={0,2}")
+#: A run of base64 and its lines; shorter ones than LEAST characters hold no secret (that of 13 characters takes 18).
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{18,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}|[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2})")
+LEAST = 18
 STANDARD = str.maketrans("-_", "+/")
 #: How base64 of gzip, zstandard, bzip2 and xz data begins.
 MAGIC = re.compile(r"H4sI|KLUv|Qlpo|/Td6WFo")
-#: A last line of wrapped base64 that is short and has no padding.
-TAIL = re.compile(r"\r?\n[A-Za-z0-9+/_-]{1,17}(?![A-Za-z0-9+/_=-])")
 #: Decoded bytes without any of these hold neither a secret nor a further layer.
 HINT = re.compile(rb"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|U\+[0-9a-f]{4}|[a-z0-9+/_-]{18}|\xef[\xbc\xbd]")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -61,7 +63,10 @@ def _zlib_starts() -> re.Pattern:
 
 
 ZLIB = _zlib_starts()
-OVERLAP = 1 << 16
+#: Bytes that windows share, bytes read from compressed data at a time, and bytes they give at a time at most.
+OVERLAP, FED, PIECE = 1 << 16, 1 << 14, 1 << 20
+
+ZLIB_TOOL = type(zlib.decompressobj())
 
 Span = tuple[int, int, int]
 
@@ -166,82 +171,187 @@ def _opened(data: bytes):
     return None
 
 
-def _parts(data: bytes, most: int) -> Iterator[bytes]:
-    """What compressed data hold, in parts of up to ``most`` bytes; nothing if they hold none."""
-    tool = _opened(data)
-    if tool is None:
+def _fed(tool, data: bytes) -> Iterator[bytes]:
+    """What a decompressor gives for further data, a piece at a time; returns what lies behind its end."""
+    if isinstance(tool, ZLIB_TOOL):
+        while not tool.eof:
+            piece = tool.decompress(data, PIECE)
+            if piece:
+                yield piece
+            data = tool.unconsumed_tail
+            if not data and len(piece) < PIECE:
+                break
+    elif hasattr(tool, "needs_input"):
+        while not tool.eof:
+            piece = tool.decompress(data, PIECE)
+            if piece:
+                yield piece
+            data = b""
+            if not tool.eof and tool.needs_input:
+                break
+    else:
+        for k in range(0, len(data), 64):  # few bytes may stand for much
+            piece = tool.decompress(data[k : k + 64])
+            if piece:
+                yield piece
+            if tool.eof:
+                return tool.unused_data + data[k + 64 :]
+    return tool.unused_data if tool.eof else b""
+
+
+def _members(chunks: Iterator[bytes], end: list[int]) -> Iterator[bytes]:
+    """What compressed data hold, member after member, as far as they can be read. end: how many bytes of chunks they
+    take, and how many members are whole."""
+    rest, tool = b"", None
+    for chunk in chunks:
+        end[0] += len(chunk)
+        rest += chunk
+        while rest:
+            if tool is None:
+                tool = _opened(rest)
+                if tool is None:
+                    end[0] -= len(rest)
+                    return
+            try:
+                rest = yield from _fed(tool, rest)
+            except Exception:  # noqa: BLE001  each library has its own error for data that only look compressed
+                return
+            if tool.eof:
+                tool = None
+                end[1] += 1
+
+
+def _unwrapped(chunks: Iterator[bytes], end: list[int]) -> Iterator[bytes]:
+    """What data hold below all layers of compression that enclose them whole. Data that are not compressed, or only
+    look so, give nothing."""
+    inside = _members(chunks, end)
+    first = next(inside, b"")
+    while first and len(first) < 8 and (more := next(inside, b"")):
+        first += more
+    if not first:
         return
-    try:
-        if hasattr(tool, "needs_input"):
-            part = tool.decompress(data, most)
-            while part:
-                yield part
-                part = b"" if tool.eof or tool.needs_input else tool.decompress(b"", most)
-        elif hasattr(tool, "unconsumed_tail"):
-            part = tool.decompress(data, most)
-            while part:
-                yield part
-                part = tool.decompress(tool.unconsumed_tail, most) if tool.unconsumed_tail else b""
-        else:
-            for i in range(0, len(data), 4096):
-                yield tool.decompress(data[i : i + 4096])
-    except Exception:  # noqa: BLE001  each library has its own error for data that only look compressed
+    tried: list[bytes] = []
+    trying = True
+
+    def again() -> Iterator[bytes]:
+        yield first
+        for piece in inside:
+            if trying:
+                tried.append(piece)
+            yield piece
+
+    deeper = _unwrapped(again(), [0, 0]) if _opened(first) else iter(())
+    piece = next(deeper, b"")
+    trying = False
+    if piece:
+        tried.clear()
+        yield piece
+        yield from deeper
+    else:
+        yield from (first, *tried)
+        yield from inside
+
+
+def _windows(data: memoryview, most: int, end: list[int]) -> Iterator[bytes]:
+    """The unwrapped contents of data in windows of about ``most`` bytes, each with some of what came before it."""
+    held, size = [], 0
+    for piece in _unwrapped((bytes(data[k : k + FED]) for k in range(0, len(data), FED)), end):
+        held.append(piece)
+        size += len(piece)
+        if size >= most:
+            window = b"".join(held)
+            yield window
+            held, size = [window[-OVERLAP:]], 0
+    if size:
+        yield b"".join(held)
+
+
+def _candidates(run: str, at: int) -> Iterator[range | list[int]]:
+    """Which characters may be one piece of base64: all of a run, each line, and blocks of lines of one length with a
+    shorter one behind them, or without it."""
+    if "\n" not in run:
+        yield range(at, at + len(run.rstrip("=")))
         return
-
-
-def _windows(data: bytes, most: int) -> Iterator[bytes]:
-    """The parts of data with some of what came before each; what is compressed again is unwrapped if it is one part."""
-    held, first = b"", None
-    for part in _parts(data, most):
-        if first is None:
-            first = part
-            continue
-        if first:
-            yield first
-            held, first = first[-OVERLAP:], b""
-        yield held + part
-        held = part[-OVERLAP:]
-    if first:
-        inner = list(_windows(first, most)) if first != data else []
-        yield from inner or [first]
+    lines = [(at + m.start(), len(m[0])) for m in re.finditer(r"[^=\r\n]+", run)]
+    of = lambda some: [i for a, n in some for i in range(a, a + n)]
+    yield of(lines)
+    k = 0
+    while k < len(lines):
+        j = k + 1
+        while j < len(lines) and lines[j][1] == lines[k][1]:
+            j += 1
+        if j < len(lines) and lines[j][1] < lines[k][1] and not (k == 0 and j == len(lines) - 1):
+            yield of(lines[k : j + 1])
+        if j - k > 1 and j - k < len(lines):
+            yield of(lines[k:j])
+        k = j
+    yield from (range(a, a + n) for a, n in lines if n >= LEAST)
 
 
 def _runs(layer: Layer, most: int) -> Iterator[Layer]:
     for m in RUN.finditer(layer.text):
-        candidates = [[(i, c) for i, c in enumerate(m[0], m.start()) if c not in "=\r\n"]]
-        if "\n" in m[0]:  # wrapped base64, or lines of which one is base64
-            at = m.start()
-            for line in m[0].split("\n"):
-                candidates.append([(i, c) for i, c in enumerate(line, at) if c not in "=\r"])
-                at += len(line) + 1
-        tail = TAIL.match(layer.text, m.end()) if m[0][-1] != "=" else None
-        if tail:  # or a line of other text, so the run without it stays a candidate
-            candidates.append(candidates[0] + [(i, c) for i, c in enumerate(tail[0], tail.start()) if c not in "\r\n"])
-        for places in candidates:
-            run = "".join(c for _, c in places).translate(STANDARD)
-            for skip in dict.fromkeys([0, 1, 2, 3, *(x.start() for pattern in (MAGIC, ZLIB) for x in pattern.finditer(run))]):
-                body = run[skip:]
-                body = body[:-1] if len(body) % 4 == 1 else body
-                data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-                where = lambda k: places[skip + k][0]  # noqa: B023, E731
-                packed = False
-                for window in _windows(data, most):
-                    packed = True
-                    text = window.decode("utf-8", "replace")
-                    yield Layer(text, Same(layer.starts[where(0)], len(text)), Same(layer.ends[where(len(body) - 1)], len(text)))
-                if packed or not HINT.search(data):
-                    continue
-                try:
-                    text = data.decode()
-                except UnicodeDecodeError:
-                    text = data.decode("latin-1")  # what the rules look for is ASCII
-                sizes = [1] * len(text) if len(text) == len(data) else [len(c.encode()) for c in text]
-                starts, ends, k = [], [], 0
-                for n in sizes:
-                    starts.append(layer.starts[where(k * 4 // 3)])
-                    ends.append(layer.ends[where(min(-(-(k + n) * 4 // 3), len(body)) - 1)])
-                    k += n
-                yield Layer(text, starts, ends)
+        for places in _candidates(m[0], m.start()):
+            if len(places) >= LEAST:
+                run = layer.text[places[0] : places[-1] + 1] if isinstance(places, range) else "".join(map(layer.text.__getitem__, places))
+                yield from _decoded(layer, run.translate(STANDARD), places, most)
+
+
+def _decoded(layer: Layer, run: str, places: range | list[int], most: int) -> Iterator[Layer]:
+    decoded: list[bytes] = []
+    for skip in range(4):
+        body = run[skip:]
+        body = body[:-1] if len(body) % 4 == 1 else body
+        decoded.append(binascii.a2b_base64(body + "=" * (-len(body) % 4)))
+    zero, tried, opened, whole = [0] * 4, set(), set(), 0
+
+    def body(k: int, at: int) -> int | None:
+        """Where the data begin behind a gzip header. Zero bytes, which end names, are looked for once."""
+        d = decoded[k]
+        if len(d) < at + 12 or d[at + 2] != 8 or d[at + 3] & 0xE0:
+            return None
+        flags, p = d[at + 3], at + 10
+        if flags & 4:
+            p += 2 + int.from_bytes(d[p : p + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                if 0 <= zero[k] < p:
+                    zero[k] = d.find(0, p)
+                if zero[k] < 0:
+                    return None
+                p = zero[k] + 1
+        return p
+
+    for x in sorted({0, 1, 2, 3, *(m.start() for pattern in (MAGIC, ZLIB) for m in pattern.finditer(run))}):
+        k, at = x % 4, x // 4 * 3
+        head = decoded[k][at : at + 8]
+        if x < whole or len(head) < 8 or _opened(head) is None:
+            continue
+        if head[:2] == b"\x1f\x8b":
+            if (p := body(k, at)) is None or (k, p) in tried:
+                continue
+            tried.add((k, p))
+        used = [0, 0]
+        for window in _windows(memoryview(decoded[k])[at:], most, used):
+            opened.add(x)
+            text = window.decode("utf-8", "replace")
+            last = min(x - (-used[0] * 4 // 3), len(run)) - 1
+            yield Layer(text, Same(layer.starts[places[x]], len(text)), Same(layer.ends[places[last]], len(text)))
+        if used[1]:  # a whole member: what looks like a beginning inside is none
+            whole = x - (-used[0] * 4 // 3)
+    for skip, data in enumerate(decoded):
+        if skip in opened or not HINT.search(data):
+            continue
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")  # what the rules look for is ASCII
+        sizes = [1] * len(text) if len(text) == len(data) else [len(c.encode()) for c in text]
+        starts, ends, k = [], [], 0
+        for n in sizes:
+            starts.append(layer.starts[places[skip + k * 4 // 3]])
+            ends.append(layer.ends[places[min(skip - (-(k + n) * 4 // 3), len(run)) - 1]])
+            k += n
+        yield Layer(text, starts, ends)
 
 
 def all_spans(text: str, max_inflated: int = MAX_INFLATED) -> tuple[list[Span], list[Span]]:

@@ -2,11 +2,14 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 
 from gaugeframe.llm import secrets as S
 
@@ -96,3 +99,58 @@ def test_rows(spark):
     full = docs.withColumn("n_chars", docs["spans"].cast("long"))
     out = {r.doc_id: r for r in S.redact_documents(full).collect()}
     assert out[1].text == "[SECRET]" and out[1].n_chars == 8 and out[None].text is None and S.redact_documents(full).columns == full.columns
+
+
+PACKERS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: zstandard.ZstdCompressor().compress(x), lambda x: gzip.compress(x[:9]) + gzip.compress(x[9:])]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_generated_nestings_have_exact_spans(seed):
+    """A chain of wrappings round a secret, alone between words: the span is the secret's own characters where
+    every layer is readable, else the compressed run's."""
+    r = random.Random(seed)
+    data, packed = ("id; " * r.randrange(3) + SECRET + " ;" * r.randrange(3)).encode(), False
+    quoted = False
+    for _ in range(r.randint(1, 3)):
+        if r.random() < 0.5:
+            for _ in range(r.randint(1, 2)):
+                data = r.choice(PACKERS)(data)
+            packed = True
+        data = base64.b64encode(data)
+        if r.random() < 0.4:
+            data, quoted = quote(data.decode(), safe="").encode(), True
+    width = r.choice([0, 16, 17, 60, 76])
+    hidden = data.decode()
+    if width and "%" not in hidden:
+        hidden = r.choice(["\n", "\r\n"]).join(hidden[i : i + width] for i in range(0, len(hidden), width))
+    text = "See " + hidden + " here"
+    spans = S.all_spans(text)[1]
+    stop = len(hidden.rstrip("="))
+    assert any(k == 0 and a >= 4 and b <= 4 + len(hidden) and (not packed or quoted or b >= 4 + stop - 3) for a, k, b in spans), (text, spans)
+
+
+@pytest.mark.parametrize("before", [0, 1, 2, 3, 5])
+@pytest.mark.parametrize("after", [0, 1, 2, 4])
+def test_plain_base64_maps_character_by_character(before, after):
+    raw = b"-" * before + SECRET.encode() + b";" * after
+    text = "x " + b64(raw)
+    first, last = before * 4 // 3, -(-(before + len(SECRET)) * 4 // 3)
+    assert S.all_spans(text)[1] == [(2 + first, 0, 2 + last)]
+
+
+def test_nested_data_beyond_a_window():
+    """What is compressed again beyond one window, and a secret at its end."""
+    noise = random.Random(1).randbytes(300_000).hex().upper()
+    inner = gzip.compress(("\n".join(noise[i : i + 31] for i in range(0, len(noise), 31)) + "\n" + SECRET).encode())
+    text = "a " + b64(gzip.compress(inner, 0))
+    assert (2, 0, len(text.rstrip("="))) in S.all_spans(text, max_inflated=1 << 17)[1]
+
+
+@pytest.mark.parametrize("marker", ["H4sI", "H4sIAAAA", "eJw", "KLUv/S", "QlpoOTFBWSZTWQ", "/Td6WFoA"])
+def test_many_markers_take_little_time(marker):
+    import time
+
+    text = marker * (131_072 // len(marker))
+    began = time.process_time()
+    assert S.all_spans(text)[0] == []
+    assert time.process_time() - began < 2
