@@ -7,11 +7,15 @@ before it must. The flow says how many words of a pattern are taken; documents a
 seeded hash: whole passes for all, one more for those before a cut, and a part of the one document at the cut, so that
 a source's words meet its target to the word.
 
-The cut is found by words in 4096 hash buckets for each pattern, and then among the documents of one bucket only, so no
-pattern is sorted by one task.
+The cut is found by words in 4096 hash buckets for each pattern, then in 4096 parts of one bucket, and then among the
+documents of one part only (one in 2 ** 24 of the pattern), so no pattern is sorted by one task. Texts are never
+shuffled, but for those of that part.
 
-Defined cases: null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated rows
-are documents each; null ids are allowed; an empty table gives no rows; further columns are ignored.
+Defined cases: null text has size 0 and takes 0; texts of any length are counted whole; a null source is a source of
+its own, last in order; null or repeated members of an array of sources count once; repeated rows are documents each,
+and where only one of them is taken, which does not matter; rows alike but in further columns are told apart by these;
+null ids are allowed; an empty table gives no rows; further columns, of any type and name, are ignored or kept as they
+are. More than ``MOST_PATTERNS`` patterns are an error, not a partial mix.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, table
+from .common import BROADCAST_KEYS, cut, fresh_name, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_PASSES = 1.5, 2
-BUCKETS = 4096
+#: Patterns that the driver plans for: some hundred MB there. Up to BROADCAST_KEYS of them are sent to all executors.
+MOST_PATTERNS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -54,19 +59,31 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 def min_cost_flow(words: list[int], member: list[tuple[int, ...]], quotas: list[int], passes: int) -> list[dict[int, int]]:
     """For each pattern (words, its sources), the words it sends to each source's quota. Passes over a pattern cost
-    1, 3, 5, ... a word. Successive shortest paths with potentials; quotas that cannot be met are met as far as
-    possible. Patterns of one source whose source has no other pattern are independent, and solved at once."""
+    1, 3, 5, ... a word; quotas that cannot be met are met as far as possible. Patterns that no chain of common sources
+    connects are networks of their own."""
     sent: list[dict[int, int]] = [{} for _ in words]
-    of_source: dict[int, list[int]] = {}
+    head = list(range(len(quotas)))
+
+    def root(s: int) -> int:
+        while head[s] != s:
+            head[s] = head[head[s]]
+            s = head[s]
+        return s
+
+    for sources in member:
+        for s in sources[1:]:
+            head[root(s)] = root(sources[0])
+    networks: dict[int, list[int]] = {}
     for p, sources in enumerate(member):
-        for s in sources:
-            of_source.setdefault(s, []).append(p)
-    tied = [p for p, sources in enumerate(member) if any(len(of_source[s]) > 1 for s in sources) or len(sources) > 1]
-    for p in set(range(len(words))) - set(tied):
-        (s,) = member[p]
-        sent[p][s] = min(quotas[s], passes * words[p])
-    if not tied:
-        return sent
+        if sources:
+            networks.setdefault(root(sources[0]), []).append(p)
+    for tied in networks.values():
+        _flow(tied, words, member, quotas, passes, sent)
+    return sent
+
+
+def _flow(tied: list[int], words: list[int], member: list[tuple[int, ...]], quotas: list[int], passes: int, sent: list[dict[int, int]]) -> None:
+    """The flow of one network, by successive shortest paths with potentials, into sent."""
     # Nodes: 0 the start, patterns, sources, the end.
     sources = sorted({s for p in tied for s in member[p]})
     node_of = {("p", p): i + 1 for i, p in enumerate(tied)} | {("s", s): i + 1 + len(tied) for i, s in enumerate(sources)}
@@ -117,43 +134,59 @@ def min_cost_flow(words: list[int], member: list[tuple[int, ...]], quotas: list[
     for (p, s), e in between.items():
         if arcs[e ^ 1][1]:
             sent[p][s] = arcs[e ^ 1][1]
-    return sent
 
 
-def plan(docs: DataFrame, sources: Column, size: Column, weight_of: Callable[[int], float], share: float, most: int) -> tuple[DataFrame, list[dict]]:
-    """The documents with pattern and size, and for each pattern {pattern, words, taken}; for each source its size and
-    target. sources: an array of strings, the memberships of a document."""
-    rows = docs.select("*", F.array_sort(F.array_distinct(sources)).alias("__pattern"), size.alias("__size"))
-    counted = rows.groupBy("__pattern").agg(F.sum("__size").alias("words")).collect()  # one row for each pattern
-    patterns = sorted(((tuple(r[0] or ()), int(r[1])) for r in counted), key=lambda r: [(x is None, x) for x in r[0]])
+def members(sources: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+
+
+def plan(narrow: DataFrame, weight_of: Callable[[int], float], share: float, most: int) -> tuple[list[dict], list[dict]]:
+    """For each pattern {pattern, words, taken}, and for each source its size and target. narrow: (pattern, size)."""
+    counted = narrow.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
+    if len(counted) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} patterns of sources: join sources first")
+    patterns = sorted(((tuple(r[0]), int(r[1])) for r in counted), key=lambda r: [(x is None, x) for x in r[0]])
     names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, (s or "").encode()))
     index = {s: i for i, s in enumerate(names)}
-    sizes = [sum(w for p, w in patterns if s in p) for s in names]
+    sizes = [0] * len(names)
+    for p, w in patterns:
+        for s in p:
+            sizes[index[s]] += w
     goal = targets(sizes, [weight_of(i) for i in range(len(names))], share, most)
     flow = min_cost_flow([w for _, w in patterns], [tuple(index[s] for s in p) for p, _ in patterns], [round(t) for t in goal], most)
     taken = [{"pattern": list(p), "words": w, "taken": sum(f.values())} for (p, w), f in zip(patterns, flow, strict=True)]
-    return rows, [taken, [{"source": s, "source_size": n, "target": t} for s, n, t in zip(names, sizes, goal, strict=True)]]
-
-
-def select(rows: DataFrame, taken: list[dict], seed: str, key: list[str]) -> DataFrame:
-    """rows (with __pattern and __size) and ``__taken``, the words taken of each."""
-    spark = rows.sparkSession
-    named = [(i, t["pattern"], int(t["taken"] // t["words"]) if t["words"] else 0, int(t["taken"] % t["words"]) if t["words"] else 0) for i, t in enumerate(taken)]
-    goals = spark.createDataFrame(named, "__p int, __pattern array<string>, __whole long, __extra long")
-    # Equal to one of at most as many rows as there are patterns; array equality treats null members alike.
-    rows = rows.join(F.broadcast(goals), rows["__pattern"].eqNullSafe(goals["__pattern"])).drop(goals["__pattern"])
-    order = F.md5(F.concat_ws("\x1f", F.lit(seed), *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in key)))
-    rows = cut(rows.withColumn("__order", order).withColumn("__bucket", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int")))
-    sums = rows.groupBy("__p", "__bucket", "__extra").agg(F.sum("__size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("__p").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    cuts = sums.withColumn("before", before).where("before <= __extra and __extra < before + words").select("__p", F.col("__bucket").alias("__cut"), F.col("before").alias("__before"))
-    rows = rows.join(F.broadcast(cuts), "__p", "left")  # one row for each pattern at most
-    at = F.col("__bucket").eqNullSafe(F.col("__cut"))
-    ahead = Window.partitionBy("__p").orderBy("__order", "__size", *key).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.where(at).withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__size").over(ahead), F.lit(0)))
-    inside = inside.withColumn("__taken", F.col("__whole") * F.col("__size") + F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__extra") - F.col("__ahead"))))
-    outside = rows.where(~at).withColumn("__taken", (F.col("__whole") + F.coalesce((F.col("__bucket") < F.col("__cut")).cast("long"), F.lit(0))) * F.col("__size"))
-    return outside.unionByName(inside.drop("__ahead"))
+    return taken, [{"source": s, "source_size": n, "target": t} for s, n, t in zip(names, sizes, goal, strict=True)]
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+
+
+def order_of(seed: str, key: list[Column]) -> Column:
+    return F.md5(F.concat_ws("\x1f", F.lit(seed), *(F.coalesce(k.cast("string"), F.lit("\x1e")) for k in key)))
+
+
+def bucket_of(order: Column) -> Column:
+    """The first 24 bits of the order."""
+    return F.conv(F.substring(order, 1, 6), 16, 10).cast("int")
+
+
+def cut_points(narrow: DataFrame, taken: list[dict]) -> DataFrame:
+    """(p, pattern, whole, extra, cut, before): whole passes over a pattern, and extra words of one more, which ends in
+    the bucket ``cut`` with ``before`` words in earlier buckets. narrow: (pattern, size, bucket)."""
+    goals = [(i, t["pattern"], int(t["taken"] // t["words"]) if t["words"] else 0, int(t["taken"] % t["words"]) if t["words"] else 0) for i, t in enumerate(taken)]
+    goals = narrow.sparkSession.createDataFrame(goals, "p int, pattern array<string>, whole long, extra long")
+    rows = narrow.join(_sent(goals, len(taken)), "pattern")  # arrays with null members are equal, too
+    coarse = F.shiftright("bucket", 12)
+
+    def found(sums: DataFrame, key: str, first: Column) -> DataFrame:
+        running = F.sum("words").over(Window.partitionBy("p").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # 4096 rows a pattern
+        return sums.withColumn("before", first + running - F.col("words")).where("before <= extra and extra < before + words")
+
+    one = found(rows.groupBy("p", "extra", coarse.alias("coarse")).agg(F.sum("size").alias("words")), "coarse", F.lit(0)).select("p", F.col("coarse").alias("at"), F.col("before").alias("ahead"))
+    fine = rows.join(_sent(one, len(taken)), "p").where(coarse == F.col("at")).groupBy("p", "extra", "ahead", "bucket").agg(F.sum("size").alias("words"))
+    cuts = found(fine, "bucket", F.col("ahead")).select("p", F.col("bucket").alias("cut"), "before")
+    return goals.join(cuts, "p", "left")
 
 
 def weight_of(i: int) -> float:
@@ -162,35 +195,52 @@ def weight_of(i: int) -> float:
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """A row for each document: its size, its source's size and target, and the words the mix takes of it."""
-    narrow = docs.select("doc_id", "source", n_words(docs["text"]).alias("size"))
-    rows, (taken, sources) = plan(narrow, F.array("source"), F.col("size"), weight_of, SHARE, MOST_PASSES)
-    named = docs.sparkSession.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "__source string, source_size long, target double")
-    chosen = select(rows, taken, seed, ["doc_id", "source"])
-    joined = chosen.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("__source")))  # a row for each source
-    return joined.select("doc_id", "size", "source_size", "target", F.col("__taken").alias("taken"))
+    narrow = docs.select("doc_id", "source", members(F.array("source")).alias("pattern"), n_words(docs["text"]).alias("size"), order_of(seed, [F.col("doc_id"), F.col("source")]).alias("order"))
+    narrow = cut(narrow.withColumn("bucket", bucket_of(F.col("order"))))
+    taken, sources = plan(narrow, weight_of, SHARE, MOST_PASSES)
+    rows = narrow.join(_sent(cut_points(narrow, taken), len(taken)), "pattern")
+    at = F.col("bucket").eqNullSafe(F.col("cut"))
+    ahead = Window.partitionBy("p").orderBy("order", "size", "doc_id", "source").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.where(at).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    inside = inside.withColumn("taken", F.col("whole") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("extra") - F.col("ahead"))))
+    outside = rows.where(~at).withColumn("taken", (F.col("whole") + F.coalesce((F.col("bucket") < F.col("cut")).cast("long"), F.lit(0))) * F.col("size"))
+    chosen = outside.unionByName(inside.drop("ahead"))
+    named = docs.sparkSession.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "name string, source_size long, target double")
+    joined = chosen.join(_sent(named, len(sources)), F.col("source").eqNullSafe(F.col("name")))
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", sources: str | None = None) -> DataFrame:
     """docs as the mix takes them: a document that is taken twice has two rows, one at the cut its first words.
     sources: a column with an array of sources for corpora whose sources overlap; by default the column source."""
-    key, text = fresh_name(docs, "mix_key"), docs["text"]
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
-    member = F.col(sources) if sources else F.array("source")
-    narrow = keyed.select(key, member.alias("__member"), n_words(text).alias("size"))
-    rows, (taken, _) = plan(narrow, F.col("__member"), F.col("size"), weight_of, SHARE, MOST_PASSES)
-    chosen = select(rows, taken, seed, [key])
-    # Equal rows have equal keys; their words are dealt to all of them alike, so no row is joined with another's share.
-    share = chosen.groupBy(key, F.col("size").alias("__words")).agg(F.sum("__taken").alias("__all"), F.count(F.lit(1)).alias("__n"))
-    dealt = keyed.join(share, key).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    own = F.floor(F.col("__all") / F.col("__n")) + (F.col("__i") <= F.col("__all") % F.col("__n")).cast("long")
-    passes = F.transform(F.sequence(F.lit(0), F.floor((F.col("__own") - 1) / F.col("__words"))), lambda i: F.least(F.col("__words"), F.col("__own") - i * F.col("__words")))
-    parts = dealt.withColumn("__own", own).where("__own > 0").withColumn("__part", F.explode(passes))
-    first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), 1, F.col("__part").cast("int")), " ")
-    cut_text = F.when(F.col("__part") < F.col("__words"), first).otherwise(F.col("text"))
-    columns = {"text": cut_text}
+    member = members(F.col(sources) if sources else F.array("source"))
+    order = order_of(seed, [F.col("doc_id"), *([] if sources else [F.col("source")]), F.xxhash64("text")])
+    narrow = cut(docs.select(member.alias("pattern"), n_words(docs["text"]).alias("size"), bucket_of(order).alias("bucket")))
+    taken, _ = plan(narrow, weight_of, SHARE, MOST_PASSES)
+    names = {c: fresh_name(docs, f"mix_{c}") for c in ("p", "pattern", "whole", "extra", "cut", "before", "order", "size", "ahead", "words")}
+    col = {k: F.col(v) for k, v in names.items()}
+    points = cut(cut_points(narrow, taken)).withColumnsRenamed({k: names[k] for k in ("p", "pattern", "whole", "extra", "cut", "before")})
+    keyed = docs.withColumns({names["pattern"]: member, names["order"]: order}).join(_sent(points, len(taken)), names["pattern"])
+    bucket = bucket_of(col["order"])
+    at = bucket.eqNullSafe(col["cut"])
+    some = F.col("text").rlike(r"[^\x20\x09-\x0D]")  # others have no words to take
+    passes = col["whole"] + F.coalesce((bucket < col["cut"]).cast("long"), F.lit(0))
+    outside = keyed.where(~at & some).withColumn(names["words"], F.explode(F.array_repeat(F.lit(None).cast("long"), passes.cast("int"))))
+    inside = keyed.where(at & some).withColumn(names["size"], n_words(F.col("text")))
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    ahead = Window.partitionBy(names["p"]).orderBy(names["order"], names["size"], row).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn(names["ahead"], col["before"] + F.coalesce(F.sum(names["size"]).over(ahead), F.lit(0)))
+    rest = F.least(col["size"], F.greatest(F.lit(0).cast("long"), col["extra"] - col["ahead"]))
+    full = F.array_repeat(F.lit(None).cast("long"), col["whole"].cast("int"))
+    parts = F.when(rest == col["size"], F.concat(full, F.array(F.lit(None).cast("long")))).when(rest > 0, F.concat(full, F.array(rest))).otherwise(full)
+    inside = inside.withColumn(names["words"], F.explode(parts)).drop(names["size"], names["ahead"])
+    both = outside.unionByName(inside)
+    first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), 1, col["words"].cast("int")), " ")
+    partly = col["words"].isNotNull()
+    columns = {"text": F.when(partly, first).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("__part") < F.col("__words"), F.length(first)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return parts.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+        columns["n_chars"] = F.when(partly, F.length(first)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
