@@ -19,22 +19,24 @@ from itertools import repeat
 
 import numpy as np
 
+from .common import REMEMBERED, begin
+
 #: The pre-token patterns of the two public vocabularies, as in their files, with \p{L} and \p{N} in the
 #: words of Python's re. Where the two classes differ for a character, its texts are left to the library.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"""
 
 #: Distinct pre-tokens that a worker remembers besides the vocabulary; others are merged again when needed.
-REMEMBERED = 100_000
+PIECES = 100_000
 
 #: Bytes that the run table takes in a worker, and of one entry, about.
-RUN_BYTES, ENTRY_BYTES = 32 << 20, 32
+RUN_BYTES, ENTRY_BYTES = 16 << 20, 32
 
 #: Bytes of the longest run between white space that is hashed and remembered; longer ones are split each time.
 LONGEST_REMEMBERED = 48
 
 #: Bytes of text that are encoded at a time, and that are hashed at a time.
-CHUNK, STRIPE = 2 << 20, 1 << 18
+CHUNK, STRIPE = 1 << 20, 1 << 18
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -199,8 +201,8 @@ class PieceTable(dict):
 
     def __missing__(self, piece: str):
         value = self.merged(piece)
-        if len(self) > self.base + REMEMBERED:
-            for _ in range(REMEMBERED):
+        if len(self) > self.base + PIECES:
+            for _ in range(PIECES):
                 self.popitem()  # the vocabulary came first, so it stays
         self[piece] = value
         return value
@@ -312,11 +314,14 @@ class PieceTable(dict):
 
 
 _TABLES: dict[tuple[str, str, int], PieceTable] = {}
+REMEMBERED["bpe"] = _TABLES.clear
 
 
 def piece_table(path: str, values: str, run_bytes: int = RUN_BYTES) -> PieceTable:
     """One table for each worker process. run_bytes: of each half of its run table."""
+    begin("bpe")
     key = path, values, run_bytes
     if key not in _TABLES:
+        _TABLES.clear()
         _TABLES[key] = PieceTable(*key)
     return _TABLES[key]

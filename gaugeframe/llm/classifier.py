@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, table, texts_of
+from .common import REMEMBERED, begin, fresh_name, table, texts_of
 
 SIZE = 1 << 18
 MIN_ROWS = 3
@@ -53,6 +53,7 @@ class _Slots(dict):
 
 
 _SLOTS = _Slots()
+REMEMBERED["classifier"] = _SLOTS.clear
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SYMBOLS = re.compile(r"[#*$%&<>]")
 
@@ -126,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | Non
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def slots(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("classifier")
         for texts in batches:
             yield pa.array([features(t) for t in texts_of(texts)], pa.list_(pa.int32()))
 
@@ -142,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | Non
 
 def scores(text: Column, model: Model) -> Column:
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("classifier")
         for texts in batches:
             yield pa.array([model.score(t) for t in texts_of(texts)], pa.float64())
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +66,40 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: What each operator remembers in a worker: how to drop it.
+REMEMBERED: dict[str, Callable[[], object]] = {}
+_WORKER = {"owner": "", "columns": 0}
+
+
+def give_back() -> None:
+    """Return freed memory to the system; arrays of a megabyte or more are returned as soon as they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with what is freed
+        pa.default_memory_pool().release_unused()
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def begin(owner: str) -> None:
+    """A worker, which Spark uses for one stage after the other, turns to this operator: it drops what others remember."""
+    if _WORKER["owner"] != owner:
+        _WORKER["owner"] = owner
+        for name, drop in REMEMBERED.items():
+            if name != owner:
+                drop()
+        give_back()
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of a column, null as empty, a few hundred at a time, so that no batch is in memory as Python strings."""
     for k in range(0, len(column), 500):
         for text in column.slice(k, 500).to_pylist():
             yield text or ""
+    _WORKER["columns"] += 1
+    if _WORKER["columns"] % 8 == 0:
+        give_back()
 
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}

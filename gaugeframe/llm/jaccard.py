@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, narrowed
+from .common import REMEMBERED, ascii_lower, begin, cut, give_back, narrowed
 
 #: Similarity as a fraction, so that the threshold is exact.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -37,9 +37,9 @@ SMALL, PART, TILE = 32, 20_000, 4_000
 #: Documents looked at for common shingles, and how many shingles are kept as common at most. They only set the order.
 SAMPLE, COMMON = 4_000, 50_000
 #: Entries that a worker packs at a time, rows it reads at a time, and slices a shuffle partition.
-PACKED, ROWS, SLICES = 500_000, 500, 8
+PACKED, ROWS, SLICES = 300_000, 300, 8
 #: Nodes that a task remembers, so that most copies are dealt once.
-SEEN = 100_000
+SEEN = 50_000
 COUNTED = np.dtype([("low", "<u4"), ("node", "<i8")])
 RANKED = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("df", "<i4")])
 ENTRY = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4"), ("part", "<i4")])
@@ -56,13 +56,14 @@ class _Words(dict):
 
         value = xxh64_intdigest(word, 42)
         if len(word) < 64:
-            if len(self) > 100_000:
+            if len(self) > 50_000:
                 self.clear()
             self[word] = value
         return value
 
 
 _WORDS = _Words()
+REMEMBERED["jaccard"] = _WORDS.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,7 +120,10 @@ def majority(hashes: np.ndarray) -> int:
 
 def text_sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """A few rows at a time, with their sets."""
-    for batch in batches:
+    begin("jaccard")
+    for n, batch in enumerate(batches):
+        if n % 8 == 7:
+            give_back()
         for k in range(0, batch.num_rows, ROWS):
             part = batch.slice(k, ROWS)
             yield part, [shingles(t, shingle) for t in part.column(column).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, default_tokenizer, table, texts_of
+from .common import begin, cut, default_tokenizer, table, texts_of
 
 #: Pieces for each bucket of ranks, about.
 BUCKET_ROWS = 20_000
@@ -115,6 +115,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
     ranked = rows.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         for batch in batches:
             length, rank = (batch.column(k).to_numpy() for k in ("length", "rank"))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, table, texts_of
+from .common import begin, fresh_name, table, texts_of
 
 KINDS = ("assign", "access", "hex")
 #: The three base rules.
@@ -385,6 +385,7 @@ def scan_secrets(docs: DataFrame, max_inflated: int = MAX_INFLATED) -> DataFrame
     """A row for each document: counts and digest of the base spans, and all spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("secrets")
         for batch in batches:
             rows = []
             for text in texts_of(batch.column(1)):
@@ -422,6 +423,7 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("secrets")
         for texts in batches:
             yield pa.array([redact(t, mark) for t in texts_of(texts)], pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False))
 

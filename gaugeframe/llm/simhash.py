@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import ascii_lower, cut, narrowed, table, texts_of
+from .common import ascii_lower, begin, cut, narrowed, table, texts_of
 from .components import components
 
 BITS, MOST, SHINGLE = 64, 4, 4
@@ -63,6 +63,7 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
         return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)], np.uint64)
 
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("simhash")
         for texts in batches:
             out = np.zeros(len(texts), np.uint64)
             for i, t in enumerate(texts_of(texts)):
