@@ -49,6 +49,11 @@ def mean_finite(x: Column) -> Column:
     return F.avg(F.when(finite(x), x))
 
 
+def or_nan(x: Column) -> Column:
+    """The score of an image without valid pixels."""
+    return F.coalesce(x, F.lit(NAN))
+
+
 def psnr(mse: Column, peak: Column) -> Column:
     return F.when(mse.isNull(), 0.0).when(mse < 1e-10, INF).otherwise(10 * F.log10(peak * peak / F.greatest(mse, F.lit(1e-300))))
 
@@ -68,8 +73,8 @@ def benchmark_bin(depth: Column, low: float, high: float) -> Column:
 
 
 def depth_bin(depth: Column, near: float = 1.0, far: float = 5.0) -> Column:
-    """(0, near], (near, far], (far, inf)."""
-    return F.when((depth > 0) & (depth <= near), "near").when((depth > near) & (depth <= far), "mid").when(depth > far, "far")
+    """(0, near], (near, far], (far, inf); null for depths that are not positive and finite."""
+    return F.when(~finite(depth) | (depth <= 0), None).when(depth <= near, "near").when(depth <= far, "mid").otherwise("far")
 
 
 def benchmark_key(low: float, high: float) -> str:

@@ -9,9 +9,11 @@ from ..functions import pixels as P
 
 
 def errors(df: DataFrame, *masks) -> DataFrame:
+    """Every pixel, with its errors where it is valid and nulls elsewhere, so that an image without valid pixels stays."""
     gt, pred = F.col("gt"), F.col("pred")
-    kept = df.where(P.valid(gt, pred, *masks))
-    return kept.withColumns({"d": pred - gt, "rel": P.absrel(gt, pred), "l": P.log_error(gt, pred), "ratio": P.ratio(gt, pred)})
+    ok = P.valid(gt, pred, *masks)
+    found = {"d": pred - gt, "rel": P.absrel(gt, pred), "l": P.log_error(gt, pred), "ratio": P.ratio(gt, pred)}
+    return df.withColumns({k: F.when(ok, v) for k, v in found.items()})
 
 
 STANDARD = ("absrel", "sqrel", "mae", "rmse", "rmse_log", "log10", "silog", "delta1", "delta2", "delta3")
@@ -20,30 +22,35 @@ STANDARD = ("absrel", "sqrel", "mae", "rmse", "rmse_log", "log10", "silog", "del
 def sums() -> list:
     """The sufficient statistics of the standard scores: they add up over images, partitions and batches."""
     d, l = F.col("d"), F.col("l")  # noqa: E741
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0.0)).alias(name)
     hits = [F.count_if(F.col("ratio") < 1.25**k).cast("long").alias(f"hits{k}") for k in (1, 2, 3)]
-    return [F.count(F.lit(1)).alias("n"), F.sum("rel").alias("s_rel"), F.sum(d * d / F.col("gt")).alias("s_sq"), F.sum(F.abs(d)).alias("s_abs"), F.sum(d * d).alias("s_d2"), F.sum(l).alias("s_l"), F.sum(l * l).alias("s_l2"), F.sum(F.abs(l)).alias("s_al"), *hits]
+    parts = {"s_rel": F.col("rel"), "s_sq": d * d / F.col("gt"), "s_abs": F.abs(d), "s_d2": d * d, "s_l": l, "s_l2": l * l, "s_al": F.abs(l)}
+    return [F.count("rel").alias("n"), *(total(x, name) for name, x in parts.items()), *hits]
 
 
 def from_sums() -> list:
-    n = F.col("n")
+    """The scores, NaN without valid pixels."""
+    n = F.when(F.col("n") > 0, F.col("n"))
     mean = lambda c: F.col(c) / n
-    return [
-        mean("s_rel").alias("absrel"), mean("s_sq").alias("sqrel"), mean("s_abs").alias("mae"), F.sqrt(mean("s_d2")).alias("rmse"), F.sqrt(mean("s_l2")).alias("rmse_log"), (mean("s_al") / F.ln(F.lit(10.0))).alias("log10"),
-        F.sqrt(F.greatest(mean("s_l2") - mean("s_l") * mean("s_l"), F.lit(0.0))).alias("silog"), *((F.col(f"hits{k}") / n).alias(f"delta{k}") for k in (1, 2, 3)),
-    ]
+    scores = {
+        "absrel": mean("s_rel"), "sqrel": mean("s_sq"), "mae": mean("s_abs"), "rmse": F.sqrt(mean("s_d2")), "rmse_log": F.sqrt(mean("s_l2")), "log10": mean("s_al") / F.ln(F.lit(10.0)),
+        "silog": F.when(F.col("n") > 0, F.sqrt(F.greatest(mean("s_l2") - mean("s_l") * mean("s_l"), F.lit(0.0)))), **{f"delta{k}": F.col(f"hits{k}") / n for k in (1, 2, 3)},
+    }
+    return [P.or_nan(x).alias(name) for name, x in scores.items()]
 
 
 def standard(df: DataFrame, *masks, by: tuple[str, ...] = ("img",)) -> DataFrame:
-    """Count and ten scores for each image."""
+    """Count and ten scores for each image; without valid pixels 0 and NaN."""
     return errors(df, *masks).groupBy(*by).agg(*sums()).select(*by, "n", *from_sums())
 
 
 def reducers(df: DataFrame, *masks, by: tuple[str, ...] = ()) -> DataFrame:
-    """A1: each score as mean and median over images, and over the pool of all pixels; one pass over the pixels."""
+    """A1: each score as mean and median over images that have it, and over the pool of all pixels; one pass over the
+    pixels."""
     images = errors(df, *masks).groupBy("img", *by).agg(*sums())
     stats = [c for c in images.columns if c not in ("img", *by)]
     scored = images.select("*", *from_sums())
-    many = scored.groupBy(*by).agg(*(F.sum(c).alias(c) for c in stats), *(F.avg(m).alias(f"{m}_mean") for m in STANDARD), *(F.median(m).alias(f"{m}_median") for m in STANDARD))
+    many = scored.groupBy(*by).agg(*(F.sum(c).alias(c) for c in stats), *(P.mean_finite(F.col(m)).alias(f"{m}_mean") for m in STANDARD), *(F.median(F.when(P.finite(F.col(m)), F.col(m))).alias(f"{m}_median") for m in STANDARD))
     pooled = many.select(*by, "n", *from_sums(), *(c for c in many.columns if c.endswith(("_mean", "_median"))))
     rows = [F.struct(F.lit(r).alias("reduction"), F.lit(m).alias("metric"), F.col(c).alias("value")) for m in STANDARD for r, c in (("image_mean", f"{m}_mean"), ("image_median", f"{m}_median"), ("pixel_pool", m))]
     return pooled.select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
@@ -58,61 +65,82 @@ def psnr(df: DataFrame, *masks) -> DataFrame:
 
 
 def stats(df: DataFrame, *masks) -> DataFrame:
-    """Mean, median and 90th percentile of each error within an image."""
+    """Mean, median and 90th percentile of each error within an image; NaN without any."""
     e = errors(df, *masks)
     q = lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.9)))
     a = e.groupBy("img").agg(F.avg("rel").alias("absrel"), q("rel").alias("qr"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), q(F.abs("d")).alias("qd"), F.avg(F.col("l") * F.col("l")).alias("l2"), F.avg("l").alias("l1"), q(F.abs("l")).alias("ql"))
-    silog = F.sqrt(F.greatest(F.col("l2") - F.col("l1") * F.col("l1"), F.lit(0.0)))
-    return a.select("img", "absrel", F.col("qr")[0].alias("absrel_median"), F.col("qr")[1].alias("absrel_p90"), "rmse", F.col("qd")[0].alias("rmse_median"), F.col("qd")[1].alias("rmse_p90"), silog.alias("silog"), F.col("ql")[0].alias("silog_median"), F.col("ql")[1].alias("silog_p90"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], buckets: int = 4096) -> DataFrame:
-    """A2 at scale: exact interpolated quantiles of one column without gathering it. The values are counted in equal
-    buckets between their extremes, and only the buckets that hold a wanted rank are sorted."""
-    v = F.col(value).cast("double")
-    x = df.select(v.alias("v")).where(P.finite(F.col("v")))
-    low, high, n = x.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    spark = df.sparkSession
-    if not n:
-        return spark.createDataFrame([(p, float("nan")) for p in probabilities], "p double, q double")
-    width = (high - low) / buckets or 1.0
-    b = F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1)).cast("int")
-    x = x.withColumn("b", b)
-    counts = sorted((r[0], r[1]) for r in x.groupBy("b").count().collect())  # ``buckets`` rows at most
-    wanted = sorted({int(k) for p in probabilities for k in (p * (n - 1) // 1, min(n - 1, p * (n - 1) // 1 + 1))})
-    before, needed, offset = 0, {}, {}
-    for bucket, c in counts:
-        offset[bucket] = before
-        inside = [k for k in wanted if before <= k < before + c]
-        if inside:
-            needed[bucket] = inside
-        before += c
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("v")) - 1
-    ranked = x.where(F.col("b").isin(list(needed))).withColumn("k", rank)
-    picks = ranked.where(F.concat_ws(":", "b", "k").isin([f"{bk}:{k - offset[bk]}" for bk, ks in needed.items() for k in ks])).collect()
-    value_at = {r["k"] + offset[r["b"]]: r["v"] for r in picks}
-    rows = []
-    for p in probabilities:
-        at = p * (n - 1)
-        k = int(at // 1)
-        a, c = value_at[k], value_at[min(k + 1, n - 1)]
-        rows.append((p, a + (c - a) * (at - k)))
-    return spark.createDataFrame(rows, "p double, q double")
+    silog = F.when(F.col("l1").isNotNull(), F.sqrt(F.greatest(F.col("l2") - F.col("l1") * F.col("l1"), F.lit(0.0))))
+    found = {"absrel": F.col("absrel"), "absrel_median": F.col("qr")[0], "absrel_p90": F.col("qr")[1], "rmse": F.col("rmse"), "rmse_median": F.col("qd")[0], "rmse_p90": F.col("qd")[1], "silog": silog, "silog_median": F.col("ql")[0], "silog_p90": F.col("ql")[1]}
+    return a.select("img", *(P.or_nan(x).alias(name) for name, x in found.items()))
+
+
+def exact_quantiles(df: DataFrame, values: dict, probabilities: list[float], buckets: int = 4096) -> dict[str, list[float]]:
+    """A2 at scale: exact interpolated quantiles of several expressions over all rows, without gathering a column.
+    values: name -> expression; what is not finite is left out. The values are counted in equal buckets between their
+    extremes, in one pass for all, then the buckets that hold a wanted rank are cut into finer ones, until they hold
+    ``buckets`` values at most or one value. Only counts, and the values of these last buckets, come to the driver."""
+    x = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()))).alias("x")).select("x.*").where(P.finite(F.col("v")))
+    ends = {r["name"]: (r["low"], r["high"], r["n"]) for r in x.groupBy("name").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).collect()}
+    # (name, first value, last value, rank of the first, number) of the ranges that hold a wanted rank
+    ranks = {name: sorted({k for p in probabilities for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}) for name, (_, _, n) in ends.items()}
+    found: dict[tuple[str, int], float] = {}
+    work = [(name, low, high, 0, n) for name, (low, high, n) in ends.items()]
+    while work:
+        wide = []
+        for name, low, high, first, n in work:
+            if low == high:
+                found.update({(name, k): low for k in ranks[name] if first <= k < first + n})
+            else:
+                wide.append((name, low, high, first, n))
+        small = [w for w in wide if w[4] <= buckets]
+        if small:
+            near = _within(x, small)
+            for i, (name, _, _, first, _) in enumerate(small):
+                held = sorted(r["v"] for r in near.where(F.col("i") == i).select("v").collect())  # ``buckets`` at most
+                found.update({(name, k): held[k - first] for k in ranks[name] if first <= k < first + len(held)})
+        wide = [w for w in wide if w[4] > buckets]
+        work = []
+        if wide:
+            step = F.lit(None).cast("int")
+            for i, (_, low, high, _, _) in enumerate(wide):
+                step = F.when(F.col("i") == i, F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / (high - low) * buckets)).cast("int")).otherwise(step)
+            counts = _within(x, wide).groupBy("i", step.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # ``buckets`` rows a range
+            for i, (name, _, _, first, _) in enumerate(wide):
+                for r in sorted((r for r in counts if r["i"] == i), key=lambda r: r["low"]):
+                    if any(first <= k < first + r["n"] for k in ranks[name]):
+                        work.append((name, r["low"], r["high"], first, r["n"]))
+                    first += r["n"]
+    out = {}
+    for name in values:
+        n = ends.get(name, (0, 0, 0))[2]
+        out[name] = []
+        for p in probabilities:
+            if n:
+                k = int(p * (n - 1))
+                a, b = found[name, k], found[name, min(k + 1, n - 1)]
+                out[name].append(a + (b - a) * (p * (n - 1) - k))
+            else:
+                out[name].append(float("nan"))
+    return out
+
+
+def _within(x: DataFrame, ranges: list[tuple]) -> DataFrame:
+    """(i, v): the values of x (name, v) that lie in range i."""
+    i = F.lit(None).cast("int")
+    for k, (name, low, high, *_) in enumerate(ranges):
+        i = F.when((F.col("name") == name) & F.col("v").between(low, high), k).otherwise(i)
+    return x.select(i.alias("i"), "v").where("i is not null")
 
 
 def pooled_quantiles(df: DataFrame, *masks) -> DataFrame:
     """A2, A3: medians and 90th percentiles over all pixels of the set."""
-    e = errors(df, *masks)
-    q = lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.9)))
-    a = e.agg(q("rel").alias("a"), q(F.abs("d")).alias("b"), q(F.abs("l")).alias("c"))
-    return a.select(*(F.col(k)[i].alias(f"{m}_{n}") for k, m in (("a", "absrel"), ("b", "rmse"), ("c", "silog")) for i, n in enumerate(("median", "p90"))))
+    q = exact_quantiles(errors(df, *masks), {"absrel": F.col("rel"), "rmse": F.abs("d"), "silog": F.abs("l")}, [0.5, 0.9])
+    return df.sparkSession.range(1).select(*(F.lit(v).alias(f"{m}_{n}") for m, pair in q.items() for n, v in zip(("median", "p90"), pair, strict=True)))
 
 
 def by_bin(df: DataFrame, low: float, high: float) -> DataFrame:
     """Standard scores of each image in near, mid, far and all, from one pass over the pixels."""
-    e = errors(df).withColumn("bin", P.benchmark_bin(F.col("gt"), low, high)).where("bin is not null")
+    e = errors(df).withColumn("bin", P.benchmark_bin(F.col("gt"), low, high)).where("bin is not null and rel is not null")
     binned = e.groupBy("img", "bin").agg(*sums())
     stats = [c for c in binned.columns if c not in ("img", "bin")]
     every = binned.groupBy("img").agg(*(F.sum(c).alias(c) for c in stats)).withColumn("bin", F.lit("all"))

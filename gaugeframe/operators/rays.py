@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import pixels as P
 
 
-def angles(df: DataFrame) -> DataFrame:
-    """Degrees between directions; those that are not finite or shorter than 1e-8 drop out."""
+def _angles(df: DataFrame) -> DataFrame:
+    """Every ray, with the angle where both directions are finite and 1e-8 long at least."""
     norm = lambda s: F.sqrt(sum((F.col(f"{s}{k}") ** 2 for k in "xyz"), F.lit(0.0)))
-    x = df.withColumns({"ng": norm("g"), "np": norm("p")}).where(P.finite(F.col("ng")) & P.finite(F.col("np")) & (F.col("ng") > 1e-8) & (F.col("np") > 1e-8))
+    x = df.withColumns({"ng": norm("g"), "np": norm("p")})
+    ok = P.finite(F.col("ng")) & P.finite(F.col("np")) & (F.col("ng") > 1e-8) & (F.col("np") > 1e-8)
     dot = sum((F.col(f"g{k}") * F.col(f"p{k}") for k in "xyz"), F.lit(0.0)) / (F.col("ng") * F.col("np"))
-    return x.select("img", "ray", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))).alias("angle"))
+    return x.select("img", "ray", F.when(ok, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))).alias("angle"))
+
+
+def angles(df: DataFrame) -> DataFrame:
+    """Degrees between directions; those that are not finite or too short drop out."""
+    return _angles(df).where("angle is not null")
 
 
 def rho(angle: Column, threshold: float, bins: int = 100) -> Column:
     """Y2 in one pass: each error adds to the trapezoid sum of the curve the thresholds that reach it."""
     k = F.greatest(F.lit(0.0), bins + 1 - F.ceil(F.greatest(angle, F.lit(0.0)) * bins / threshold))
-    k = F.when(angle > threshold, 0.0).otherwise(k)
+    k = F.when(angle > threshold, 0.0).when(angle.isNotNull(), k)
     return F.avg((k - 0.5 * (angle <= 0).cast("double") - 0.5 * (angle <= threshold).cast("double")) / bins)
 
 
 def by_image(df: DataFrame, threshold: float) -> DataFrame:
-    return angles(df).groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.avg("angle").alias("mean_angle"), F.median("angle").alias("median_angle"), rho(F.col("angle"), threshold).alias("rho_a"))
+    """An image without a valid ray has NaN throughout."""
+    found = {"mean_angle": F.avg("angle"), "median_angle": F.median("angle"), "rho_a": F.when(F.count("angle") > 0, rho(F.col("angle"), threshold))}
+    return _angles(df).groupBy("img").agg(F.count("angle").alias("n"), *(P.or_nan(x).alias(n) for n, x in found.items()))
 
 
 def over_images(scores: DataFrame) -> DataFrame:

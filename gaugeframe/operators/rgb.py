@@ -93,7 +93,7 @@ def tail_pixels(df: DataFrame, percentile: float = 0.95) -> DataFrame:
 
 def depth_binned(df: DataFrame, near: float = 1.0, far: float = 5.0) -> DataFrame:
     """Mean errors in near, mid, far and all; a bin without pixels scores 0."""
-    x = df.select("img", "depth", absolute().alias("a"), squared().alias("s")).where("depth > 0")
+    x = df.select("img", "depth", absolute().alias("a"), squared().alias("s")).where(P.finite(F.col("depth")) & (F.col("depth") > 0))
     parts = x.groupBy("img", P.depth_bin(F.col("depth"), near, far).alias("bin")).agg(F.sum("a").alias("a"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
     both = parts.unionByName(parts.groupBy("img").agg(F.sum("a").alias("a"), F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("bin", F.lit("all")))
     every = df.select("img").distinct().withColumn("bin", F.explode(F.array(*map(F.lit, ("near", "mid", "far", "all")))))

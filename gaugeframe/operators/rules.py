@@ -28,12 +28,12 @@ class Rule:
 def rules(limits: dict | None = None) -> list[Rule]:
     t = DEFAULTS | (limits or {})
     c = F.col
-    over = lambda m, col, k, kind="too_high": Rule(m, kind, (col,), lambda: c(col) > t[k], col)
-    under = lambda m, col, k, kind="too_low": Rule(m, kind, (col,), lambda: c(col) < t[k], col)
+    over = lambda m, col, k, kind="too_high": Rule(m, kind, (col,), lambda: P.finite(c(col)) & (c(col) > t[k]), col)
+    under = lambda m, col, k, kind="too_low": Rule(m, kind, (col,), lambda: P.finite(c(col)) & (c(col) < t[k]), col)
     return [
         over("depth_input", "depth_max", "depth_max", "depth_too_large"), Rule("depth_input", "negative_depth", ("depth_min",), lambda: c("depth_min") < 0, "depth_min"), Rule("depth_input", "no_valid_pixels", ("n_valid",), lambda: c("n_valid") == 0, "n_valid"),
         over("depth_psnr", "peak", "psnr_max_high"), under("depth_psnr", "peak", "psnr_max_low"), under("depth_ssim", "depth_range", "ssim_range"), over("depth_absrel", "absrel_median", "absrel_median", "median_too_high"), over("depth_absrel", "absrel_p90", "absrel_p90", "p90_too_high"),
-        Rule("depth_rmse", "too_high", ("rmse", "depth_range"), lambda: c("rmse") > t["rmse_share"] * c("depth_range"), "rmse"), over("depth_silog", "silog", "silog"), over("normal_consistency", "mean_normal_angle", "normal_angle"), under("normal_consistency", "normal_pixels", "normal_pixels", "few_pixels"),
+        Rule("depth_rmse", "too_high", ("rmse", "depth_range"), lambda: P.finite(c("rmse")) & (c("rmse") > t["rmse_share"] * c("depth_range")), "rmse"), over("depth_silog", "silog", "silog"), over("normal_consistency", "mean_normal_angle", "normal_angle"), under("normal_consistency", "normal_pixels", "normal_pixels", "few_pixels"),
         under("depth_edge_f1", "gt_edge_ratio", "edge_low"), over("depth_edge_f1", "gt_edge_ratio", "edge_high"), over("rgb_input", "rgb_max", "rgb_max"), under("rgb_input", "rgb_min", "rgb_min"),
         Rule("rgb_psnr", "too_low", ("rgb_psnr",), lambda: P.finite(c("rgb_psnr")) & (c("rgb_psnr") < t["rgb_psnr_low"]), "rgb_psnr"), Rule("rgb_psnr", "too_high", ("rgb_psnr",), lambda: P.finite(c("rgb_psnr")) & (c("rgb_psnr") > t["rgb_psnr_high"]), "rgb_psnr"),
         under("rgb_ssim", "rgb_ssim", "rgb_ssim"), over("rgb_lpips", "rgb_lpips", "lpips"), over("tail_errors", "tail_p99", "tail_p99"), under("high_freq_energy", "hf_relative_diff", "high_freq"),

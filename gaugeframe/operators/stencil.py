@@ -10,6 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pixels as P
+
+
 def row():
     return Window.partitionBy("img", "r").orderBy("c")
 
@@ -52,33 +55,40 @@ def neighbourhood(df: DataFrame, name: str, out: str, how: str) -> DataFrame:
     return df.withColumn(out, b).drop("__a")
 
 
-def normal_angles(df: DataFrame) -> DataFrame:
-    """Degrees between surface normals where the 3 x 3 neighbourhood is valid."""
-    ok = ((F.col("gt") > 0) & (F.col("pred") > 0)).cast("int")
+def _angles(df: DataFrame, *masks: Column) -> DataFrame:
+    """Every pixel, with the angle between its normals where the 3 x 3 neighbourhood is valid."""
+    ok = F.coalesce(P.valid(F.col("gt"), F.col("pred"), *masks), F.lit(False)).cast("int")
     df = gradients(df.withColumn("ok", ok), ["gt", "pred"], 1.0, 2.0, 8.0, "zero")
-    df = neighbourhood(df, "ok", "inner", "min").where("inner = 1")
+    df = neighbourhood(df, "ok", "inner", "min")
     length = lambda n: F.sqrt(F.col(f"{n}_x") ** 2 + F.col(f"{n}_y") ** 2 + 1)
     dot = (F.col("gt_x") * F.col("pred_x") + F.col("gt_y") * F.col("pred_y") + 1) / (length("gt") * length("pred"))
-    dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
+    dot = F.when(F.col("inner") == 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
     return df.select("img", "r", "c", dot.alias("dot"), F.degrees(F.acos(dot)).alias("angle"))
 
 
-def normal_consistency(df: DataFrame, by: tuple[str, ...] = ("img",)) -> DataFrame:
-    """D8b by image, A4 with by=()."""
-    below = [(F.avg((F.col("angle") < t).cast("double")) * 100).alias(f"below_{n}") for n, t in (("11_25", 11.25), ("22_5", 22.5), ("30", 30.0))]
-    return normal_angles(df).groupBy(*by).agg(F.avg("angle").alias("mean_angle"), F.median("angle").alias("median_angle"), F.avg("dot").alias("mean_dot"), *below)
+def normal_angles(df: DataFrame, *masks: Column) -> DataFrame:
+    """Degrees between surface normals where the 3 x 3 neighbourhood is valid."""
+    return _angles(df, *masks).where("angle is not null")
+
+
+def normal_consistency(df: DataFrame, *masks: Column, by: tuple[str, ...] = ("img",)) -> DataFrame:
+    """D8b by image, A4 with by=(). An image without a valid neighbourhood has NaN throughout."""
+    below = {f"below_{n}": F.avg((F.col("angle") < t).cast("double")) * 100 for n, t in (("11_25", 11.25), ("22_5", 22.5), ("30", 30.0))}
+    found = {"mean_angle": F.avg("angle"), "median_angle": F.median("angle"), "mean_dot": F.avg("dot"), **below}
+    return _angles(df, *masks).groupBy(*by).agg(*(P.or_nan(x).alias(n) for n, x in found.items()))
 
 
-def depth_edges(df: DataFrame, name: str, out: str, threshold: float = 0.1, method: str = "relative") -> DataFrame:
-    """Spans of two pixels against a share of the depth (zero padding), or Sobel (reflect)."""
+def depth_edges(df: DataFrame, name: str, out: str, threshold: float = 0.1, method: str = "relative", mask: Column | None = None) -> DataFrame:
+    """Spans of two pixels against a share of the depth (zero padding) or a depth, or Sobel (reflect). Edges lie
+    on valid pixels (by default those of this map alone), and none where a NaN takes part."""
     x = F.col(name)
+    ok = P.finite(x) & (x > 0) if mask is None else mask
+    edge = lambda span, limit: F.coalesce(ok & ~F.isnan(span) & (span > limit), F.lit(False)).cast("int")
     if method == "sobel":
         df = gradients(df, [name], 1.0, 2.0, 1.0, "reflect")
-        edge = F.sqrt(F.col(f"{name}_x") ** 2 + F.col(f"{name}_y") ** 2) > threshold
-        return df.withColumn(out, (edge & (x > 0)).cast("int")).drop(f"{name}_x", f"{name}_y")
-    span = F.greatest(*(F.abs(tap(x, 1, a, "zero") - tap(x, -1, a, "zero")) for a in ("c", "r")))
-    limit = threshold * x if method == "relative" else F.lit(threshold)
-    return df.withColumn(out, ((span > limit) & (x > 0)).cast("int"))
+        return df.withColumn(out, edge(F.sqrt(F.col(f"{name}_x") ** 2 + F.col(f"{name}_y") ** 2), threshold)).drop(f"{name}_x", f"{name}_y")
+    span = F.greatest(*(F.abs(tap(x, 1, a, "zero") - tap(x, -1, a, "zero")) for a in ("c", "r")))  # NaN is the greatest
+    return df.withColumn(out, edge(span, threshold * x if method == "relative" else F.lit(threshold)))
 
 
 def match_edges(df: DataFrame, pred: str, gt: str) -> DataFrame:
@@ -92,9 +102,10 @@ def match_edges(df: DataFrame, pred: str, gt: str) -> DataFrame:
     return a.select("img", "n_pred", "n_gt", "precision", "recall", f1.alias("f1"))
 
 
-def depth_edge_f1(df: DataFrame, threshold: float = 0.1, method: str = "relative") -> DataFrame:
-    """D11."""
-    return match_edges(depth_edges(depth_edges(df, "gt", "eg", threshold, method), "pred", "ep", threshold, method), "ep", "eg")
+def depth_edge_f1(df: DataFrame, threshold: float = 0.1, method: str = "relative", *masks: Column) -> DataFrame:
+    """Edges of both maps on pixels valid in both."""
+    ok = P.valid(F.col("gt"), F.col("pred"), *masks)
+    return match_edges(depth_edges(depth_edges(df, "gt", "eg", threshold, method, ok), "pred", "ep", threshold, method, ok), "ep", "eg")
 
 
 def macro_f1(scores: DataFrame) -> DataFrame:
@@ -123,18 +134,26 @@ def blurred(df: DataFrame, columns: list[str]) -> DataFrame:
     return x.drop("h", "w_")
 
 
-def ssim_map(df: DataFrame, a: str, b: str, k1: float = 0.01, k2: float = 0.03) -> DataFrame:
-    x = df.select("img", "r", "c", F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) ** 2).alias("aa"), (F.col(b) ** 2).alias("bb"), (F.col(a) * F.col(b)).alias("ab"))
-    m = blurred(x, ["a", "b", "aa", "bb", "ab"])
+def ssim_map(df: DataFrame, a: str, b: str, k1: float = 0.01, k2: float = 0.03, weight: str | None = None) -> DataFrame:
+    """(img, r, c, ssim), and the blurred weight if one is named."""
+    x = df.select("img", "r", "c", F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) ** 2).alias("aa"), (F.col(b) ** 2).alias("bb"), (F.col(a) * F.col(b)).alias("ab"), *([F.col(weight).alias("weight")] if weight else []))
+    m = blurred(x, ["a", "b", "aa", "bb", "ab"] + ["weight"] * bool(weight))
     va, vb, cov = F.col("aa") - F.col("a") ** 2, F.col("bb") - F.col("b") ** 2, F.col("ab") - F.col("a") * F.col("b")
     c1, c2 = k1**2, k2**2
     s = (2 * F.col("a") * F.col("b") + c1) * (2 * cov + c2) / ((F.col("a") ** 2 + F.col("b") ** 2 + c1) * (va + vb + c2))
-    return m.select("img", "r", "c", s.alias("ssim"))
-
-
-def depth_ssim(df: DataFrame) -> DataFrame:
-    """D3 for maps that are valid throughout: both scaled by their common extremes; equal constants score 1."""
-    e = df.groupBy("img").agg(F.least(F.min("gt"), F.min("pred")).alias("lo"), F.greatest(F.max("gt"), F.max("pred")).alias("hi"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    x = df.join(e, "img").withColumns({"a": (F.col("gt") - F.col("lo")) / span, "b": (F.col("pred") - F.col("lo")) / span})
-    return ssim_map(x, "a", "b").groupBy("img").agg(F.avg("ssim").alias("ssim"))
+    return m.select("img", "r", "c", s.alias("ssim"), *(["weight"] if weight else []))
+
+
+def depth_ssim(df: DataFrame, *masks: Column) -> DataFrame:
+    """D3: both maps scaled by their common extremes over valid pixels, others 0; the mean where over half of the
+    window's weight is valid. Equal constants score 1; an image without valid pixels, or enough of them, 0."""
+    ok = F.coalesce(P.valid(F.col("gt"), F.col("pred"), *masks), F.lit(False))
+    x = df.withColumn("ok", ok)
+    of = lambda f, g: f(g(F.when(F.col("ok"), F.col("gt"))), g(F.when(F.col("ok"), F.col("pred"))))
+    e = x.groupBy("img").agg(of(F.least, F.min).alias("lo"), of(F.greatest, F.max).alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    scaled = lambda c: F.when(F.col("ok"), (F.col(c) - F.col("lo")) / span).otherwise(0.0)
+    whole = x.join(e.where(span >= 1e-8), "img").withColumns({"a": scaled("gt"), "b": scaled("pred"), "weight": F.col("ok").cast("double")})
+    s = ssim_map(whole, "a", "b", weight="weight").groupBy("img").agg(F.avg(F.when(F.col("weight") > 0.5, F.col("ssim"))).alias("s"))
+    flat = F.when(span < 1e-8, 1.0)
+    return e.join(s, "img", "left").select("img", F.coalesce(flat, "s", F.lit(0.0)).alias("ssim"))

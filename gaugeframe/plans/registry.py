@@ -1,4 +1,5 @@
-"""The queries over the engine's own operators, with SQL for each. Numbers are rounded to six digits in both."""
+"""The queries over the engine's own operators, with SQL for each. Numbers are rounded to six digits in both, and NaN
+is null."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from ..sources import adapters as A
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.when(~F.isnan(c), F.round(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _over(source, step):
@@ -24,7 +25,9 @@ def _features(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
 
 
 def _with_depth(df: DataFrame) -> DataFrame:
-    return df.withColumn("depth", F.col("gr") * 12 - 3)
+    """Some depths are NaN, and some images have none that is positive."""
+    k = F.col("img") * 64 + F.col("r") * 8 + F.col("c")
+    return df.withColumn("depth", F.when(F.col("img") % 23 == 1, -1.0).when(k % 41 == 0, float("nan")).otherwise(F.col("gr") * 12 - 3))
 
 
 def _kid(spark, sf_dir):
@@ -114,12 +117,12 @@ QUERIES = {
     "A16_scale_and_shift": _over(A.depth_pixels, depth.scale_and_shift),
     "A16_scale_and_shift_trimmed": _over(A.depth_pixels, lambda d: depth.scale_and_shift(d, True)),
     "P15_aligned_standard": _over(A.depth_pixels, lambda d: depth.standard(depth.aligned(d))),
-    "D7_D8_normal_consistency": _over(A.grids, stencil.normal_consistency),
-    "A4_normal_consistency_pooled": _over(A.grids, lambda d: stencil.normal_consistency(d, ())),
-    "D9_D10_D11_depth_edge_f1": _over(A.grids, stencil.depth_edge_f1),
-    "D9_depth_edge_f1_sobel": _over(A.grids, lambda d: stencil.depth_edge_f1(d, 0.6, "sobel")),
-    "A5_edge_f1_macro": _over(A.grids, _edge_macro),
-    "D3_depth_ssim": _over(A.grids, stencil.depth_ssim),
+    "D7_D8_normal_consistency": _over(A.holed_grids, stencil.normal_consistency),
+    "A4_normal_consistency_pooled": _over(A.holed_grids, lambda d: stencil.normal_consistency(d, by=())),
+    "D9_D10_D11_depth_edge_f1": _over(A.holed_grids, stencil.depth_edge_f1),
+    "D9_depth_edge_f1_sobel": _over(A.holed_grids, lambda d: stencil.depth_edge_f1(d, 0.6, "sobel")),
+    "A5_edge_f1_macro": _over(A.holed_grids, _edge_macro),
+    "D3_depth_ssim": _over(A.holed_grids, stencil.depth_ssim),
     "R1_rgb_psnr": _over(A.rgb, rgb.psnr),
     "R3_rgb_psnr_masked": _over(A.rgb, lambda d: rgb.psnr(d, F.col("gr") > 0.5)),
     "R2_rgb_ssim": _over(A.rgb, rgb.ssim),
@@ -160,15 +163,16 @@ QUERIES = {
 # ---------------------------------------------------------------- the same in SQL
 
 PX = """px AS (
-  SELECT l_suppkey AS img, CASE WHEN l_quantity = 1 THEN 0.0::DOUBLE ELSE l_extendedprice::DOUBLE / 1000 END AS gt,
-    l_extendedprice::DOUBLE / 1000 * (1 - l_discount::DOUBLE) * (1 + l_tax::DOUBLE) AS pred, l_returnflag = 'R' AS sky FROM lineitem
+  SELECT l_suppkey AS img, CASE WHEN l_quantity = 1 OR l_suppkey % 17 = 5 THEN 0.0::DOUBLE WHEN l_quantity = 3 THEN 'Infinity'::DOUBLE ELSE l_extendedprice::DOUBLE / 1000 END AS gt,
+    CASE WHEN l_quantity = 2 THEN 'NaN'::DOUBLE ELSE l_extendedprice::DOUBLE / 1000 * (1 - l_discount::DOUBLE) * (1 + l_tax::DOUBLE) END AS pred, l_returnflag = 'R' AS sky FROM lineitem
 )"""
-ERR = "e AS (SELECT *, pred - gt AS d, abs(pred - gt) / gt AS rel, ln(pred) - ln(gt) AS l, greatest(pred / gt, gt / pred) AS ratio FROM px WHERE gt > 0 AND pred > 0)"
+ERR = "e AS (SELECT *, pred - gt AS d, abs(pred - gt) / gt AS rel, ln(pred) - ln(gt) AS l, greatest(pred / gt, gt / pred) AS ratio FROM (SELECT * FROM px WHERE gt > 0 AND pred > 0 AND isfinite(gt) AND isfinite(pred)))"
+EVERY = "every AS (SELECT i.img, e.* EXCLUDE (img) FROM (SELECT DISTINCT img FROM px) i LEFT JOIN e ON e.img = i.img{})"
 STD = {
     "absrel": "avg(rel)", "sqrel": "avg(d * d / gt)", "mae": "avg(abs(d))", "rmse": "sqrt(avg(d * d))", "rmse_log": "sqrt(avg(l * l))", "log10": "avg(abs(l)) / ln(10)", "silog": "sqrt(greatest(avg(l * l) - avg(l) * avg(l), 0))",
     **{f"delta{k}": f"avg(CASE WHEN ratio < {1.25**k!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for k in (1, 2, 3)},
 }
-STANDARD = ", ".join(f"round({v}, 6) AS {k}" for k, v in STD.items())
+STANDARD = ", ".join(f"CASE WHEN count(rel) > 0 THEN round({v}, 6) END AS {k}" for k, v in STD.items())
 
 
 def _q(x: str, p: float, name: str) -> str:
@@ -177,7 +181,7 @@ def _q(x: str, p: float, name: str) -> str:
 
 STATS = ", ".join([
     "round(avg(rel), 6) AS absrel", _q("rel", 0.5, "absrel_median"), _q("rel", 0.9, "absrel_p90"), "round(sqrt(avg(d * d)), 6) AS rmse", _q("abs(d)", 0.5, "rmse_median"), _q("abs(d)", 0.9, "rmse_p90"),
-    f"round({STD['silog']}, 6) AS silog", _q("abs(l)", 0.5, "silog_median"), _q("abs(l)", 0.9, "silog_p90"),
+    f"CASE WHEN count(rel) > 0 THEN round({STD['silog']}, 6) END AS silog", _q("abs(l)", 0.5, "silog_median"), _q("abs(l)", 0.9, "silog_p90"),
 ])
 NEAR, MID = P.benchmark_edges(1.0, 80.0)
 BIN = f"CASE WHEN gt >= 1 AND gt < {NEAR!r}::DOUBLE THEN 'near' WHEN gt >= {NEAR!r}::DOUBLE AND gt < {MID!r}::DOUBLE THEN 'mid' WHEN gt >= {MID!r}::DOUBLE AND gt <= 80 THEN 'far' END"
@@ -190,6 +194,11 @@ GRID = """g AS (
   SELECT a.vec_id AS img, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, a.embedding[i + 1]::DOUBLE + 1 AS gt, b.embedding[i + 1]::DOUBLE + 1 AS pred
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(64) t(i)
 )"""
+HOLED = GRID.replace("g AS (", "g0 AS (", 1) + """, g AS (
+  SELECT img, r, c, CASE WHEN img % 29 = 3 THEN 0.0::DOUBLE WHEN (img * 64 + r * 8 + c) % 61 = 0 THEN 'NaN'::DOUBLE ELSE gt END AS gt,
+    CASE WHEN (img * 64 + r * 8 + c) % 67 = 0 THEN 0.0::DOUBLE WHEN (img * 64 + r * 8 + c) % 71 = 0 THEN 'Infinity'::DOUBLE ELSE pred END AS pred FROM g0
+)"""
+OK = "(gt > 0 AND pred > 0 AND isfinite(gt) AND isfinite(pred))"
 RGB = """c1 AS (SELECT vec_id // 3 AS img, vec_id % 3 AS ch, i, (embedding[i + 1]::DOUBLE + 1) / 2 AS x FROM embeddings, range(64) t(i)
 ), o AS (SELECT img, i, max(x) FILTER (WHERE ch = 0) AS r_, max(x) FILTER (WHERE ch = 1) AS g_, max(x) FILTER (WHERE ch = 2) AS b_ FROM c1 GROUP BY ALL HAVING count(*) = 3
 ), g AS (SELECT a.img, CAST(a.i // 8 AS INTEGER) AS r, CAST(a.i % 8 AS INTEGER) AS c, a.r_ AS gr, a.g_ AS gg, a.b_ AS gb, b.r_ AS pr, b.g_ AS pg, b.b_ AS pb FROM o a JOIN o b ON b.img = a.img + 1 AND b.i = a.i)"""
@@ -222,36 +231,39 @@ def _f1(source: str) -> str:
 
 
 F1_OUT = "SELECT img, n_pred, n_gt, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s3"
-SPAN = ", ".join(f"CAST(greatest(abs({_tap(n, 1, 'c', 'zero')} - {_tap(n, -1, 'c', 'zero')}), abs({_tap(n, 1, 'r', 'zero')} - {_tap(n, -1, 'r', 'zero')})) > 0.1::DOUBLE * {n} AND {n} > 0 AS INTEGER) AS {o}" for n, o in (("gt", "eg"), ("pred", "ep")))
-NORMAL = f"""{GRID}, {_gradients('g', 'n', ['gt', 'pred'], 1, 2, 8, 'zero')}, i AS (
-  SELECT *, (gt_x * pred_x + gt_y * pred_y + 1) / (sqrt(gt_x ** 2 + gt_y ** 2 + 1) * sqrt(pred_x ** 2 + pred_y ** 2 + 1)) AS dot FROM n WHERE r BETWEEN 1 AND 6 AND c BETWEEN 1 AND 6
-), a AS (SELECT *, degrees(acos(greatest(-1, least(1, dot)))) AS angle FROM i)"""
-NORMAL_OUT = "round(avg(angle), 6) AS mean_angle, round(median(angle), 6) AS median_angle, round(avg(dot), 6) AS mean_dot, " + ", ".join(f"round(avg(CASE WHEN angle < {t} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS below_{n}" for n, t in (("11_25", 11.25), ("22_5", 22.5), ("30", 30.0)))
+SPAN = ", ".join(f"CAST(greatest(abs({_tap(n, 1, 'c', 'zero')} - {_tap(n, -1, 'c', 'zero')}), abs({_tap(n, 1, 'r', 'zero')} - {_tap(n, -1, 'r', 'zero')})) > 0.1::DOUBLE * {n} AND NOT isnan(greatest(abs({_tap(n, 1, 'c', 'zero')} - {_tap(n, -1, 'c', 'zero')}), abs({_tap(n, 1, 'r', 'zero')} - {_tap(n, -1, 'r', 'zero')}))) AND {OK} AS INTEGER) AS {o}" for n, o in (("gt", "eg"), ("pred", "ep")))
+NORMAL = f"""{HOLED}, {_gradients('g', 'n', ['gt', 'pred'], 1, 2, 8, 'zero')}, inside AS (
+  SELECT a.img, a.r, a.c FROM g a JOIN g b ON b.img = a.img AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND b.gt > 0 AND b.pred > 0 AND isfinite(b.gt) AND isfinite(b.pred) GROUP BY ALL HAVING count(*) = 9
+), i AS (
+  SELECT n.*, greatest(-1, least(1, (gt_x * pred_x + gt_y * pred_y + 1) / (sqrt(gt_x ** 2 + gt_y ** 2 + 1) * sqrt(pred_x ** 2 + pred_y ** 2 + 1)))) AS dot FROM n JOIN inside USING (img, r, c)
+), a AS (SELECT p.img, dot, degrees(acos(dot)) AS angle FROM (SELECT DISTINCT img FROM g) p LEFT JOIN i ON i.img = p.img)"""
+NORMAL_OUT = "round(avg(angle), 6) AS mean_angle, round(median(angle), 6) AS median_angle, round(avg(dot), 6) AS mean_dot, " + ", ".join(f"round(avg(CASE WHEN angle < {t} THEN 1.0::DOUBLE WHEN angle >= {t} THEN 0.0::DOUBLE END) * 100, 6) AS below_{n}" for n, t in (("11_25", 11.25), ("22_5", 22.5), ("30", 30.0)))
 KERNEL = """kt AS (SELECT i, CASE WHEN i + d < 0 THEN -(i + d) - 1 WHEN i + d > 7 THEN 15 - (i + d) ELSE i + d END AS j, exp(-d * d / (2 * (11.0::DOUBLE / 6) ** 2)) AS w FROM range(8) a(i), range(-5, 6) b(d)
 ), kw AS (SELECT i, j, sum(w) / (SELECT sum(exp(-d * d / (2 * (11.0::DOUBLE / 6) ** 2))) FROM range(-5, 6) b(d)) AS w FROM kt GROUP BY i, j)"""
 
 
-def _ssim(source: str, out: str) -> str:
-    """source has key, r, c, a, b."""
-    first = ", ".join(f"sum(w * {x}) AS {n}" for n, x in (("a", "a"), ("b", "b"), ("aa", "a * a"), ("bb", "b * b"), ("ab", "a * b")))
-    second = ", ".join(f"sum(w * {n}) AS {n}" for n in ("a", "b", "aa", "bb", "ab"))
+def _ssim(source: str, out: str, weighted: bool = False) -> str:
+    """source has key, r, c, a, b; and v where the mean is over pixels of which over half of the window has v = 1."""
+    names = [("a", "a"), ("b", "b"), ("aa", "a * a"), ("bb", "b * b"), ("ab", "a * b")] + [("v", "v")] * weighted
+    first = ", ".join(f"sum(w * {x}) AS {n}" for n, x in names)
+    second = ", ".join(f"sum(w * {n}) AS {n}" for n, _ in names)
     return f"""{out}_1 AS (SELECT key, i AS r, c, {first} FROM {source} JOIN kw ON r = j GROUP BY key, i, c), {out}_2 AS (SELECT key, r, i AS c, {second} FROM {out}_1 JOIN kw ON c = j GROUP BY key, r, i), {out} AS (
-  SELECT key, avg((2 * a * b + 0.0001::DOUBLE) * (2 * (ab - a * b) + 0.0009::DOUBLE) / ((a * a + b * b + 0.0001::DOUBLE) * (aa - a * a + bb - b * b + 0.0009::DOUBLE))) AS ssim FROM {out}_2 GROUP BY key)"""
+  SELECT key, avg((2 * a * b + 0.0001::DOUBLE) * (2 * (ab - a * b) + 0.0009::DOUBLE) / ((a * a + b * b + 0.0001::DOUBLE) * (aa - a * a + bb - b * b + 0.0009::DOUBLE))) {"FILTER (WHERE v > 0.5)" if weighted else ""} AS ssim FROM {out}_2 GROUP BY key)"""
 
 
 DFT = f"""y AS (SELECT img, r, c, {LUMA['g']} AS g, {LUMA['p']} AS p FROM g
 ), f1 AS (SELECT img, r, v, {', '.join(f'sum({s} * {fn}(-2 * pi() * v * c / 8)) AS {s}{o}' for s in 'gp' for fn, o in (('cos', 're'), ('sin', 'im')))} FROM y, range(8) t(v) GROUP BY img, r, v
 ), f2 AS (SELECT img, u, v, {', '.join(f'sum({s}re * cos(-2 * pi() * u * r / 8) - {s}im * sin(-2 * pi() * u * r / 8)) AS {s}re, sum({s}re * sin(-2 * pi() * u * r / 8) + {s}im * cos(-2 * pi() * u * r / 8)) AS {s}im' for s in 'gp')} FROM f1, range(8) t(u) GROUP BY img, u, v
 ), f3 AS (SELECT img, sqrt((((u + 4) % 8 - 4) ** 2 + ((v + 4) % 8 - 4) ** 2)::DOUBLE) / sqrt(32.0::DOUBLE) AS dist, gre ** 2 + gim ** 2 AS g, pre ** 2 + pim ** 2 AS p FROM f2)"""
-BINNED = f"""x AS (SELECT img, gr * 12 - 3 AS depth, {ABS3} AS a, {SQ3} AS s FROM g
-), y AS (SELECT img, CASE WHEN depth <= 1 THEN 'near' WHEN depth <= 5 THEN 'mid' ELSE 'far' END AS bin, a, s FROM x WHERE depth > 0
+BINNED = f"""x AS (SELECT img, CASE WHEN img % 23 = 1 THEN -1.0::DOUBLE WHEN (img * 64 + r * 8 + c) % 41 = 0 THEN 'NaN'::DOUBLE ELSE gr * 12 - 3 END AS depth, {ABS3} AS a, {SQ3} AS s FROM g
+), y AS (SELECT img, CASE WHEN depth <= 1 THEN 'near' WHEN depth <= 5 THEN 'mid' ELSE 'far' END AS bin, a, s FROM x WHERE depth > 0 AND isfinite(depth)
 ), z AS (SELECT img, coalesce(bin, 'all') AS bin, avg(a) AS mae, avg(s) AS mse, count(*) AS n FROM y GROUP BY GROUPING SETS ((img, bin), (img))
 ), b AS (SELECT i.img, k.bin, coalesce(mae, 0) AS mae, coalesce(mse, 0) AS mse, coalesce(n, 0) AS n FROM (SELECT DISTINCT img FROM g) i CROSS JOIN (VALUES ('near'), ('mid'), ('far'), ('all')) k(bin) LEFT JOIN z ON z.img = i.img AND z.bin = k.bin)"""
-RAYS = """y AS (SELECT a.vec_id AS img, CAST(k AS INTEGER) AS ray, list_transform(a.embedding[3 * k + 1 : 3 * k + 3], lambda x: x::DOUBLE) AS g, list_transform(b.embedding[3 * k + 1 : 3 * k + 3], lambda x: x::DOUBLE) AS p
+RAYS = """y AS (SELECT a.vec_id AS img, CAST(k AS INTEGER) AS ray, list_transform(a.embedding[3 * k + 1 : 3 * k + 3], lambda x: x::DOUBLE) AS g, CASE WHEN a.vec_id % 31 = 7 OR (a.vec_id * 21 + k) % 37 = 0 THEN NULL ELSE list_transform(b.embedding[3 * k + 1 : 3 * k + 3], lambda x: x::DOUBLE) END AS p
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(21) t(k)
 ), n AS (SELECT *, sqrt(g[1] ** 2 + g[2] ** 2 + g[3] ** 2) AS ng, sqrt(p[1] ** 2 + p[2] ** 2 + p[3] ** 2) AS np FROM y
 ), a AS (SELECT img, ray, degrees(acos(greatest(-1, least(1, (g[1] * p[1] + g[2] * p[2] + g[3] * p[3]) / (ng * np))))) AS angle FROM n WHERE ng > 1e-8 AND np > 1e-8)"""
-RHO = """rho AS (SELECT img, count(*) AS n, avg(angle) AS mean_angle, median(angle) AS median_angle FROM a GROUP BY img
+RHO = """rho AS (SELECT i.img, count(angle) AS n, avg(angle) AS mean_angle, median(angle) AS median_angle FROM (SELECT DISTINCT img FROM y) i LEFT JOIN a ON a.img = i.img GROUP BY i.img
 ), curve AS (SELECT img, k, avg(CASE WHEN angle <= k * 120.0::DOUBLE / 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM a, range(101) t(k) GROUP BY img, k
 ), area AS (SELECT img, sum(v * CASE WHEN k IN (0, 100) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) / 100 AS rho_a FROM curve GROUP BY img)"""
 BELOW = ", ".join(f"round(avg(CASE WHEN angle < {t} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS below_{t}" for t in rays.LIMITS)
@@ -259,9 +271,10 @@ PROJ = """pt AS (SELECT l_suppkey AS img, l_orderkey * 10 + l_linenumber AS pt,
 ), pj AS (SELECT *, CAST(round_even(20 * x / nullif(greatest(z, 0), 0) + 16, 0) AS BIGINT) AS u, CAST(round_even(20 * y / nullif(greatest(z, 0), 0) + 16, 0) AS BIGINT) AS v FROM pt WHERE z > 1e-8
 ), pk AS (SELECT *, row_number() OVER (PARTITION BY img, v, u ORDER BY z, pt, x, y) AS k FROM pj WHERE u BETWEEN 0 AND 31 AND v BETWEEN 0 AND 31
 ), pd AS (SELECT img, v AS r, u AS c, sqrt(x * x + y * y + z * z) AS gt FROM pk WHERE k = 1)"""
-SCORES = f"""{PX}, {ERR}, sc AS (SELECT img, max(gt) AS depth_max, min(gt) AS depth_min, count(*) AS n_valid, max(gt) - min(gt) AS depth_range, quantile_cont(rel, 0.5) AS absrel_median, quantile_cont(rel, 0.9) AS absrel_p90, sqrt(avg(d * d)) AS rmse, {STD['silog']} AS silog FROM e GROUP BY img
+SCORES = f"""{PX}, {ERR}, {EVERY.format('')}, sc AS (SELECT img, max(gt) AS depth_max, min(gt) AS depth_min, count(rel) AS n_valid, max(gt) - min(gt) AS depth_range, quantile_cont(rel, 0.5) AS absrel_median, quantile_cont(rel, 0.9) AS absrel_p90, sqrt(avg(d * d)) AS rmse, {STD['silog']} AS silog FROM every GROUP BY img
 ), w AS (
   SELECT img, 'depth_input' AS metric, 'depth_too_large' AS warning_type, depth_max AS observed FROM sc WHERE depth_max > 104
+  UNION ALL SELECT img, 'depth_input', 'no_valid_pixels', 0.0::DOUBLE FROM sc WHERE n_valid = 0
   UNION ALL SELECT img, 'depth_psnr', 'too_high', depth_max FROM sc WHERE depth_max > 104
   UNION ALL SELECT img, 'depth_psnr', 'too_low', depth_max FROM sc WHERE depth_max < 0.1
   UNION ALL SELECT img, 'depth_ssim', 'too_low', depth_range FROM sc WHERE depth_range < 0.1
@@ -293,23 +306,25 @@ YG = f"yy AS (SELECT *, {LUMA['g']} AS yg, {LUMA['p']} AS yp FROM g)"
 PSNR3 = "CASE WHEN mse IS NULL THEN 'NaN'::DOUBLE WHEN mse < 1e-10 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(1 / mse), 6) END"
 
 ORACLES = {
-    "D1_depth_standard_per_image": f"WITH {PX}, {ERR} SELECT img, count(*) AS n, {STANDARD} FROM e GROUP BY img",
-    "P2_depth_standard_sky_masked": f"WITH {PX}, {ERR} SELECT img, count(*) AS n, {STANDARD} FROM e WHERE NOT sky GROUP BY img",
+    "D1_depth_standard_per_image": f"WITH {PX}, {ERR}, {EVERY.format('')} SELECT img, count(rel) AS n, {STANDARD} FROM every GROUP BY img",
+    "P2_depth_standard_sky_masked": f"WITH {PX}, {ERR}, {EVERY.format(' AND NOT e.sky')} SELECT img, count(rel) AS n, {STANDARD} FROM every GROUP BY img",
     "A1_depth_standard_reducers": f"WITH {PX}, {ERR}, i AS (SELECT img, {', '.join(f'{v} AS {k}' for k, v in STD.items())} FROM e GROUP BY img), p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in STD.items())} FROM e) " + " UNION ALL ".join(
         f"SELECT 'image_mean' AS reduction, '{m}' AS metric, round(avg({m}), 6) AS value FROM i UNION ALL SELECT 'image_median', '{m}', round(median({m}), 6) FROM i UNION ALL SELECT 'pixel_pool', '{m}', round({m}, 6) FROM p" for m in STD),
-    "D2_depth_psnr": f"WITH {PX}, m AS (SELECT img, avg((pred - gt) ** 2) FILTER (WHERE gt > 0 AND pred > 0) AS mse, max(gt) FILTER (WHERE gt > 0 AND pred > 0) AS peak FROM px GROUP BY img) SELECT img, CASE WHEN mse IS NULL THEN 0.0::DOUBLE WHEN mse < 1e-10 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(peak * peak / mse), 6) END AS psnr FROM m",
-    "D4_D5_D6_depth_stats": f"WITH {PX}, {ERR} SELECT img, {STATS} FROM e GROUP BY img",
+    "D2_depth_psnr": f"WITH {PX}, m AS (SELECT img, avg((pred - gt) ** 2) FILTER (WHERE ok) AS mse, max(gt) FILTER (WHERE ok) AS peak FROM (SELECT img, CASE WHEN isfinite(gt) AND isfinite(pred) THEN gt END AS gt, CASE WHEN isfinite(gt) AND isfinite(pred) THEN pred END AS pred, gt > 0 AND pred > 0 AND isfinite(gt) AND isfinite(pred) AS ok FROM px) GROUP BY img) SELECT img, CASE WHEN mse IS NULL THEN 0.0::DOUBLE WHEN mse < 1e-10 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(peak * peak / mse), 6) END AS psnr FROM m",
+    "D4_D5_D6_depth_stats": f"WITH {PX}, {ERR}, {EVERY.format('')} SELECT img, {STATS} FROM every GROUP BY img",
     "A2_A3_pooled_quantiles": f"WITH {PX}, {ERR} SELECT {', '.join(_q(x, p, f'{m}_{n}') for m, x in (('absrel', 'rel'), ('rmse', 'abs(d)'), ('silog', 'abs(l)')) for p, n in ((0.5, 'median'), (0.9, 'p90')))} FROM e",
     "P6_A12_benchmark_bins": f"WITH {PX}, {ERR}, b AS (SELECT *, {BIN} AS bin FROM e) SELECT img, coalesce(bin, 'all') AS bin, count(*) AS n, {STANDARD} FROM b WHERE bin IS NOT NULL GROUP BY GROUPING SETS ((img, bin), (img))",
-    "A16_scale_and_shift": f"WITH {PX}, k AS (SELECT * FROM px WHERE gt > 0), {FIT} SELECT img, n, round(s, 6) AS s, round(t, 6) AS t FROM fit",
-    "A16_scale_and_shift_trimmed": f"WITH {PX}, k0 AS (SELECT *, quantile_cont(gt, 0.95) OVER (PARTITION BY img) AS lim FROM px WHERE gt > 0), k AS (SELECT * FROM k0 WHERE gt <= lim), {FIT} SELECT img, n, round(s, 6) AS s, round(t, 6) AS t FROM fit",
-    "P15_aligned_standard": f"WITH {PX.replace('px AS', 'px0 AS', 1)}, k AS (SELECT * FROM px0 WHERE gt > 0), {FIT}, px AS (SELECT px0.img, gt, coalesce(s, 1) * pred + coalesce(t, 0) AS pred FROM px0 LEFT JOIN fit USING (img)), {ERR} SELECT img, count(*) AS n, {STANDARD} FROM e GROUP BY img",
+    "A16_scale_and_shift": f"WITH {PX}, k AS (SELECT * FROM px WHERE gt > 0 AND isfinite(gt) AND isfinite(pred)), {FIT} SELECT img, n, round(s, 6) AS s, round(t, 6) AS t FROM fit",
+    "A16_scale_and_shift_trimmed": f"WITH {PX}, k0 AS (SELECT *, quantile_cont(gt, 0.95) OVER (PARTITION BY img) AS lim FROM px WHERE gt > 0 AND isfinite(gt) AND isfinite(pred)), k AS (SELECT * FROM k0 WHERE gt <= lim), {FIT} SELECT img, n, round(s, 6) AS s, round(t, 6) AS t FROM fit",
+    "P15_aligned_standard": f"WITH {PX.replace('px AS', 'px0 AS', 1)}, k AS (SELECT * FROM px0 WHERE gt > 0 AND isfinite(gt) AND isfinite(pred)), {FIT}, px AS (SELECT px0.img, gt, coalesce(s, 1) * pred + coalesce(t, 0) AS pred FROM px0 LEFT JOIN fit USING (img)), {ERR.replace('AS (SELECT *,', 'AS (SELECT img, gt,', 1)}, {EVERY.format('')} SELECT img, count(rel) AS n, {STANDARD} FROM every GROUP BY img",
     "D7_D8_normal_consistency": f"WITH {NORMAL} SELECT img, {NORMAL_OUT} FROM a GROUP BY img",
     "A4_normal_consistency_pooled": f"WITH {NORMAL} SELECT {NORMAL_OUT} FROM a",
-    "D9_D10_D11_depth_edge_f1": f"WITH {GRID}, ed AS (SELECT *, {SPAN} FROM g), {_f1('ed')} {F1_OUT}",
-    "D9_depth_edge_f1_sobel": f"WITH {GRID}, {_gradients('g', 'n', ['gt', 'pred'], 1, 2, 1, 'reflect')}, ed AS (SELECT *, CAST(sqrt(gt_x ** 2 + gt_y ** 2) > 0.6::DOUBLE AND gt > 0 AS INTEGER) AS eg, CAST(sqrt(pred_x ** 2 + pred_y ** 2) > 0.6::DOUBLE AND pred > 0 AS INTEGER) AS ep FROM n), {_f1('ed')} {F1_OUT}",
-    "A5_edge_f1_macro": f"WITH {GRID}, ed AS (SELECT *, {SPAN} FROM g), {_f1('ed')} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, count(*) AS n_images FROM s3 WHERE n_pred > 0 OR n_gt > 0",
-    "D3_depth_ssim": f"WITH {GRID}, {KERNEL}, e AS (SELECT img, least(min(gt), min(pred)) AS lo, greatest(max(gt), max(pred)) AS hi FROM g GROUP BY img), x AS (SELECT img AS key, r, c, (gt - lo) / (hi - lo) AS a, (pred - lo) / (hi - lo) AS b FROM g JOIN e USING (img)), {_ssim('x', 's')} SELECT key AS img, round(ssim, 6) AS ssim FROM s",
+    "D9_D10_D11_depth_edge_f1": f"WITH {HOLED}, ed AS (SELECT *, {SPAN} FROM g), {_f1('ed')} {F1_OUT}",
+    "D9_depth_edge_f1_sobel": f"WITH {HOLED}, {_gradients('g', 'n', ['gt', 'pred'], 1, 2, 1, 'reflect')}, ed AS (SELECT *, CAST(sqrt(gt_x ** 2 + gt_y ** 2) > 0.6::DOUBLE AND NOT isnan(sqrt(gt_x ** 2 + gt_y ** 2)) AND {OK} AS INTEGER) AS eg, CAST(sqrt(pred_x ** 2 + pred_y ** 2) > 0.6::DOUBLE AND NOT isnan(sqrt(pred_x ** 2 + pred_y ** 2)) AND {OK} AS INTEGER) AS ep FROM n), {_f1('ed')} {F1_OUT}",
+    "A5_edge_f1_macro": f"WITH {HOLED}, ed AS (SELECT *, {SPAN} FROM g), {_f1('ed')} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, count(*) AS n_images FROM s3 WHERE n_pred > 0 OR n_gt > 0",
+    "D3_depth_ssim": f"WITH {HOLED}, {KERNEL}, o AS (SELECT *, {OK} AS ok FROM g), e AS (SELECT img, least(min(gt) FILTER (WHERE ok), min(pred) FILTER (WHERE ok)) AS lo, greatest(max(gt) FILTER (WHERE ok), max(pred) FILTER (WHERE ok)) AS hi FROM o GROUP BY img), "
+    "x AS (SELECT img AS key, r, c, CASE WHEN ok THEN (gt - lo) / (hi - lo) ELSE 0.0::DOUBLE END AS a, CASE WHEN ok THEN (pred - lo) / (hi - lo) ELSE 0.0::DOUBLE END AS b, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM o JOIN e USING (img) WHERE hi - lo >= 1e-8), "
+    f"{_ssim('x', 's', True)} SELECT e.img, round(CASE WHEN hi - lo < 1e-8 THEN 1.0::DOUBLE ELSE coalesce(ssim, 0) END, 6) AS ssim FROM e LEFT JOIN s ON s.key = e.img",
     "R1_rgb_psnr": f"WITH {RGB}, m AS (SELECT img, avg({SQ3}) AS mse FROM g GROUP BY img) SELECT img, {PSNR3} AS psnr FROM m",
     "R3_rgb_psnr_masked": f"WITH {RGB}, m AS (SELECT img, avg({SQ3}) FILTER (WHERE gr > 0.5) AS mse FROM g GROUP BY img) SELECT img, {PSNR3} AS psnr FROM m",
     "R2_rgb_ssim": f"WITH {RGB}, {KERNEL}, x AS (SELECT img * 3 + k AS key, r, c, CASE k WHEN 0 THEN gr WHEN 1 THEN gg ELSE gb END AS a, CASE k WHEN 0 THEN pr WHEN 1 THEN pg ELSE pb END AS b FROM g, range(3) t(k)), {_ssim('x', 's')} SELECT key // 3 AS img, round(avg(ssim), 6) AS ssim FROM s GROUP BY key // 3",
@@ -325,7 +340,7 @@ ORACLES = {
     "R11_depth_binned": f"WITH {RGB}, {BINNED} SELECT img, bin, round(mae, 6) AS mae, round(mse, 6) AS mse, n FROM b",
     "A6_A15_depth_binned_set": f"WITH {RGB}, {BINNED} SELECT bin, round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse FROM b GROUP BY bin",
     "Y1_ray_angles": f"WITH {RAYS} SELECT img, ray, round(angle, 6) AS angle FROM a",
-    "Y2_rays_per_image": f"WITH {RAYS}, {RHO} SELECT img, n, round(mean_angle, 6) AS mean_angle, round(median_angle, 6) AS median_angle, round(rho_a, 6) AS rho_a FROM rho JOIN area USING (img)",
+    "Y2_rays_per_image": f"WITH {RAYS}, {RHO} SELECT img, n, round(mean_angle, 6) AS mean_angle, round(median_angle, 6) AS median_angle, round(rho_a, 6) AS rho_a FROM rho LEFT JOIN area USING (img)",
     "A9_rho_over_images": f"WITH {RAYS}, {RHO} SELECT round(avg(rho_a), 6) AS rho_mean, round(median(rho_a), 6) AS rho_median, round(stddev_pop(rho_a), 6) AS rho_std FROM area",
     "A10_ray_angles_pooled": f"WITH {RAYS} SELECT round(avg(angle), 6) AS mean_angle, round(median(angle), 6) AS median_angle, {BELOW} FROM a",
     "A11_ray_histogram_median": f"WITH {RAYS}, h AS (SELECT least(floor(angle * 100), 17999) AS bin, count(*) AS n FROM a GROUP BY 1), k AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS cum, sum(n) OVER () AS al FROM h) SELECT (SELECT round((min(bin) + 0.5) * 0.01, 6) FROM k WHERE cum >= al / 2) AS median_angle, round(avg(angle), 6) AS mean_angle, {BELOW} FROM a",

@@ -4,6 +4,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeframe.functions import pixels as P
 from gaugeframe.operators import depth, sets
@@ -33,8 +34,11 @@ def test_fit_recovers_and_degenerates(spark):
 def test_exact_quantiles(spark):
     x = np.random.default_rng(1).normal(size=500).round(2)
     df = spark.createDataFrame([(float(v),) for v in [*x, math.nan, math.inf]], "v double")
-    got = {r.p: r.q for r in depth.exact_quantiles(df, "v", [0.0, 0.5, 0.9, 1.0], 16).collect()}
-    assert got == pytest.approx({p: float(np.quantile(x, p)) for p in got})
+    at = [0.0, 0.5, 0.9, 1.0]
+    got = depth.exact_quantiles(df, {"v": F.col("v"), "skewed": F.exp(3 * F.col("v")), "same": F.when(F.abs("v") < 9, 1.0), "none": F.lit(None)}, at, 16)
+    for name, y in (("v", x), ("skewed", np.exp(3 * x)), ("same", np.ones(500))):
+        assert got[name] == pytest.approx([float(np.quantile(y, p)) for p in at]), name
+    assert all(math.isnan(v) for v in got["none"])
 
 
 def test_projection_keeps_the_nearest(spark):
