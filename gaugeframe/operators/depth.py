@@ -162,9 +162,9 @@ def scale_and_shift(df: DataFrame, trim: bool = False, *masks) -> DataFrame:
     return a.select("img", "n", s.alias("s"), t.alias("t"))
 
 
-def aligned(df: DataFrame, trim: bool = False) -> DataFrame:
+def aligned(df: DataFrame, trim: bool = False, *masks) -> DataFrame:
     """Predictions after the fit; images without one keep theirs."""
-    fit = scale_and_shift(df, trim).select("img", "s", "t")
+    fit = scale_and_shift(df, trim, *masks).select("img", "s", "t")
     return df.join(fit, "img", "left").withColumn("pred", F.coalesce(F.col("s"), F.lit(1.0)) * F.col("pred") + F.coalesce(F.col("t"), F.lit(0.0))).drop("s", "t")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,23 +101,33 @@ def depth_binned(df: DataFrame, near: float = 1.0, far: float = 5.0) -> DataFram
     return out.select("img", "bin", *(F.coalesce(F.col(k) / F.col("n"), F.lit(0.0)).alias(m) for k, m in (("a", "mae"), ("s", "mse"))), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def spectrum(df: DataFrame, side: str) -> DataFrame:
-    """(img, u, v, dist, power): the discrete Fourier transform of luminance, by rows and then by columns."""
-    size = df.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    x = df.select("img", "r", "c", gray(side).alias("y")).join(size, "img")
-    f = lambda k, i, n: -2 * math.pi * F.col(k) * F.col(i) / F.col(n)
-    a = x.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).groupBy("img", "h", "w", "r", "v").agg(F.sum(F.col("y") * F.cos(f("v", "c", "w"))).alias("re"), F.sum(F.col("y") * F.sin(f("v", "c", "w"))).alias("im"))
-    t = f("u", "r", "h")
-    b = a.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).groupBy("img", "h", "w", "u", "v").agg(F.sum(F.col("re") * F.cos(t) - F.col("im") * F.sin(t)).alias("re"), F.sum(F.col("re") * F.sin(t) + F.col("im") * F.cos(t)).alias("im"))
-    centred = lambda k, n: F.pmod(F.col(k) + F.floor(F.col(n) / 2), F.col(n)) - F.floor(F.col(n) / 2)
-    dist = F.sqrt((centred("u", "h") ** 2 + centred("v", "w") ** 2).cast("double")) / F.sqrt((F.floor(F.col("h") / 2) ** 2 + F.floor(F.col("w") / 2) ** 2).cast("double"))
-    return b.select("img", "u", "v", dist.alias("dist"), (F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+def spectra(df: DataFrame) -> DataFrame:
+    """(img, u, v, dist, g, p): the power of the discrete Fourier transforms of both luminances. An image is a task's
+    unit: its pixels meet once, and a fast transform takes the place of a row for each pixel and frequency."""
+
+    def transform(key, pixels: pd.DataFrame) -> pd.DataFrame:
+        r, c = pixels["r"].to_numpy(), pixels["c"].to_numpy()
+        h, w = r.max() + 1, c.max() + 1
+        out = {}
+        for side in "gp":
+            y = np.zeros((h, w))
+            y[r, c] = pixels[side].to_numpy()
+            out[side] = (np.abs(np.fft.fft2(y)) ** 2).ravel()
+        u, v = np.divmod(np.arange(h * w), w)
+        centred = lambda k, n: (k + n // 2) % n - n // 2
+        far = np.hypot(h // 2, w // 2) or 1.0
+        return pd.DataFrame({"img": [key[0]] * (h * w), "u": u, "v": v, "dist": np.sqrt(centred(u, h) ** 2.0 + centred(v, w) ** 2.0) / far, **out})
+
+    transform.__annotations__ = {}
+    kind = df.schema["img"].dataType.simpleString()
+    x = df.select("img", "r", "c", gray("g").alias("g"), gray("p").alias("p"))
+    return x.groupBy("img").applyInPandas(transform, f"img {kind}, u int, v int, dist double, g double, p double")
 
 
 def high_frequency(df: DataFrame, cutoff: float = 0.25) -> DataFrame:
     """The share of power beyond 1 - cutoff of the largest distance, and how it is kept."""
-    share = lambda s: spectrum(df, s).groupBy("img").agg((F.sum(F.when(F.col("dist") > 1 - cutoff, F.col("power")).otherwise(0.0)) / F.sum("power")).alias(s))
-    x = share("g").join(share("p"), "img")
+    share = lambda s: F.coalesce(F.try_divide(F.sum(F.when(F.col("dist") > 1 - cutoff, F.col(s)).otherwise(0.0)), F.sum(s)), F.lit(0.0)).alias(s)  # noqa: E731  a black image has none
+    x = spectra(df).groupBy("img").agg(share("g"), share("p"))
     g, p = F.col("g"), F.col("p")
     rel = F.when(g > 1e-10, (p - g) / g).when(p > 1e-10, float("inf")).otherwise(0.0)
     kept = F.when(g > 1e-10, F.least(p / g, F.lit(1.0))).when(p > 1e-10, 0.0).otherwise(1.0)
@@ -132,7 +142,6 @@ def high_frequency_over_images(scores: DataFrame) -> DataFrame:
 
 def spectrum_bands(df: DataFrame, bands: int = 4) -> DataFrame:
     """R10d: energy by radial band and how alike it is; the farthest corner is in none."""
-    part = lambda s: spectrum(df, s).where("dist < 1").groupBy("img", F.floor(F.col("dist") * bands).cast("int").alias("band")).agg(F.sum("power").alias(s))
-    x = part("g").join(part("p"), ["img", "band"])
+    x = spectra(df).where("dist < 1").groupBy("img", F.floor(F.col("dist") * bands).cast("int").alias("band")).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     ratio = F.when(F.col("g") > 1e-10, F.col("p") / F.col("g")).otherwise(F.when(F.col("p") > 1e-10, float("inf")).otherwise(1.0))
     return x.select("img", "band", F.col("g").alias("gt_energy"), F.col("p").alias("pred_energy"), (1 - F.least(F.abs(ratio - 1), F.lit(1.0))).alias("similarity"))

@@ -119,6 +119,17 @@ def unmatched(gt: DataFrame, pred: DataFrame, on: str = "full_id") -> DataFrame:
     return gt.select(on).join(pred, on, "left_anti").withColumn("side", F.lit("gt")).unionByName(pred.select(on).join(gt, on, "left_anti").withColumn("side", F.lit("pred")))
 
 
+def ancestor(samples: DataFrame, nodes: DataFrame, on: str = "full_id", node: str = "node") -> DataFrame:
+    """Each sample with the columns of its nearest ancestor in nodes (by path), null where there is none. A sample
+    looks under each prefix of its path, so the join is on equal paths."""
+    parts = F.split(F.regexp_replace(on, "^/", ""), "/")
+    steps = F.sequence(F.lit(0), F.size(parts))
+    prefixes = samples.select(on, F.explode(F.transform(steps, lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("prefix")))).alias("x")).select(on, "x.*")
+    values = [c for c in nodes.columns if c != node]
+    found = prefixes.join(nodes.withColumn("prefix", F.regexp_replace(node, "^/", "")), "prefix").groupBy(on).agg(F.max_by(F.struct(*values), "depth").alias("nearest"))
+    return samples.join(found, on, "left").select(*samples.columns, *(F.col(f"nearest.{c}").alias(c) for c in values))
+
+
 def project(points: DataFrame, fx: float, fy: float, cx: float, cy: float, h: int, w: int, pose: list[list[float]] | None = None) -> DataFrame:
     """Points to pixels; of those at a pixel the nearest along the axis wins, ties by order. Radial depth."""
     t = pose or [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]]

@@ -108,9 +108,9 @@ def depth_edge_f1(df: DataFrame, threshold: float = 0.1, method: str = "relative
     return match_edges(depth_edges(depth_edges(df, "gt", "eg", threshold, method, ok), "pred", "ep", threshold, method, ok), "ep", "eg")
 
 
-def macro_f1(scores: DataFrame) -> DataFrame:
+def macro_f1(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A5: over images with an edge on either side."""
-    return scores.where("n_pred > 0 or n_gt > 0").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("n_images"))
+    return scores.where("n_pred > 0 or n_gt > 0").groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("n_images"))
 
 
 def blur_weights(df: DataFrame, radius: int = 5, sigma: float = 11 / 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
+from . import evaluate
 from ..operators import depth, rays, resize, rgb, rules, sets, stencil
 from ..sources import adapters as A
 
@@ -106,7 +107,27 @@ def _edge_macro(df):
     return stencil.macro_f1(stencil.depth_edge_f1(df))
 
 
+def _run_depth(spark, sf_dir):
+    """Fitted per image: native and metric space, benchmark bins, no stencils (as for sparse references)."""
+    return _rounded(evaluate.evaluate_depth(A.depth_pixels(spark, sf_dir), hint="affine", benchmark=(1.0, 80.0), dense=False).summary)
+
+
+def _run_rays(spark, sf_dir):
+    return _rounded(evaluate.evaluate_rays(A.rays(spark, sf_dir), "pano").summary.select("path", "value"))
+
+
+def _ancestors(spark, sf_dir):
+    """The nearest node above a sample; nations with an odd key have one, regions all."""
+    h = A.hierarchy(spark, sf_dir).select("full_id")
+    n, r = A.read(spark, sf_dir, "nation"), A.read(spark, sf_dir, "region")
+    at_nation = n.where("n_nationkey % 2 = 1").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("node"), (F.col("n_nationkey") + 500).cast("double").alias("fx"))
+    return sets.ancestor(h, at_nation.unionByName(r.select(F.col("r_name").alias("node"), (F.col("r_regionkey") + 900).cast("double").alias("fx"))))
+
+
 QUERIES = {
+    "E1_evaluate_depth_spaces": _run_depth,
+    "E4_evaluate_rays": _run_rays,
+    "J3_nearest_ancestor": _ancestors,
     "D1_depth_standard_per_image": _over(A.depth_pixels, depth.standard),
     "P2_depth_standard_sky_masked": _over(A.depth_pixels, lambda d: depth.standard(d, ~F.col("sky"))),
     "A1_depth_standard_reducers": _over(A.depth_pixels, depth.reducers),
@@ -305,7 +326,31 @@ def _canny(side: str, out: str, source: str, to: str) -> str:
 YG = f"yy AS (SELECT *, {LUMA['g']} AS yg, {LUMA['p']} AS yp FROM g)"
 PSNR3 = "CASE WHEN mse IS NULL THEN 'NaN'::DOUBLE WHEN mse < 1e-10 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(1 / mse), 6) END"
 
+PX_FITTED = PX.replace("px AS", "px0 AS", 1) + f", k AS (SELECT * FROM px0 WHERE gt > 0 AND isfinite(gt) AND isfinite(pred)), {FIT}, px AS (SELECT px0.img, gt, coalesce(s, 1) * pred + coalesce(t, 0) AS pred FROM px0 LEFT JOIN fit USING (img))"
+
+
+def _run(space: str, px: str) -> str:
+    """Summary of a space: without bins, and in each bin of the benchmark."""
+    err = ERR.replace("AS (SELECT *,", "AS (SELECT img, gt,", 1)
+    i = ", ".join(f"{v} AS {k}" for k, v in STD.items())
+    rows = [f"SELECT bin, 'standard.image_mean.{m}' AS path, avg({m}) AS value FROM i GROUP BY bin UNION ALL SELECT bin, 'standard.image_median.{m}', median({m}) FROM i GROUP BY bin UNION ALL SELECT bin, 'standard.pixel_pool.{m}', {m} FROM p" for m in STD]
+    rows += [f"SELECT bin, 'depth_metrics.{m}.{n}', quantile_cont({x}, {q}) FROM b GROUP BY bin" for m, x in (("absrel", "rel"), ("rmse", "abs(d)"), ("silog", "abs(l)")) for n, q in (("median", 0.5), ("p90", 0.9))]
+    rows.append("SELECT bin, 'depth_metrics.silog.mean', avg(silog) FROM i GROUP BY bin")
+    return f"(WITH {px}, {err}, b0 AS (SELECT *, {BIN} AS one FROM e), b AS (SELECT *, '' AS bin FROM b0 UNION ALL SELECT *, one FROM b0 WHERE one IS NOT NULL UNION ALL SELECT *, 'all' FROM b0 WHERE one IS NOT NULL), i AS (SELECT img, bin, {i} FROM b GROUP BY img, bin), p AS (SELECT bin, {i} FROM b GROUP BY bin) SELECT '{space}' AS space, bin, path, round(value, 6) AS value FROM ({' UNION ALL '.join(rows)}))"
+
+
+def _run_rays_sql() -> str:
+    rho = RHO.replace("120.0", "30.0")
+    below = ", ".join(f"avg(CASE WHEN angle < {t} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS b{t}" for t in rays.LIMITS)
+    rows = ["SELECT 'rho_a.mean' AS path, avg(rho_a) AS value FROM area", "SELECT 'rho_a.median', median(rho_a) FROM area", "SELECT 'rho_a.std', stddev_pop(rho_a) FROM area", "SELECT 'angle.mean', avg(angle) FROM a", "SELECT 'angle.median', (min(bin) + 0.5) * 0.01 FROM hk WHERE cum >= al / 2"]
+    rows += [f"SELECT 'angle.percent_below_{t}', b{t} FROM bl" for t in rays.LIMITS]
+    return f"WITH {RAYS}, {rho}, h AS (SELECT least(floor(angle * 100), 17999) AS bin, count(*) AS n FROM a GROUP BY 1), hk AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS cum, sum(n) OVER () AS al FROM h), bl AS (SELECT {below} FROM a) SELECT path, round(value, 6) AS value FROM ({' UNION ALL '.join(rows)})"
+
+
 ORACLES = {
+    "E1_evaluate_depth_spaces": f"{_run('native', PX)} UNION ALL {_run('metric', PX_FITTED)}",
+    "E4_evaluate_rays": _run_rays_sql(),
+    "J3_nearest_ancestor": "SELECT r_name || '/' || n_name || '/' || s_name AS full_id, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey + 500.0::DOUBLE ELSE r_regionkey + 900.0::DOUBLE END AS fx FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "D1_depth_standard_per_image": f"WITH {PX}, {ERR}, {EVERY.format('')} SELECT img, count(rel) AS n, {STANDARD} FROM every GROUP BY img",
     "P2_depth_standard_sky_masked": f"WITH {PX}, {ERR}, {EVERY.format(' AND NOT e.sky')} SELECT img, count(rel) AS n, {STANDARD} FROM every GROUP BY img",
     "A1_depth_standard_reducers": f"WITH {PX}, {ERR}, i AS (SELECT img, {', '.join(f'{v} AS {k}' for k, v in STD.items())} FROM e GROUP BY img), p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in STD.items())} FROM e) " + " UNION ALL ".join(
