@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -138,7 +139,9 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
 
 
 def shared(own: list[int], other: list[int]) -> set[int]:
-    """Indexes of own that lie on a longest common subsequence with other; bit-parallel, a row of bits a line."""
+    """Indices of own that lie on a longest common subsequence with other; bit-parallel, a row of bits a line. Rows are
+    kept at the beginnings of blocks only and made again block by block on the way back, so the memory grows with the
+    root of the number of lines, not with the number."""
     a, b = 0, 0
     while a < min(len(own), len(other)) and own[a] == other[a]:
         a += 1
@@ -149,21 +152,33 @@ def shared(own: list[int], other: list[int]) -> set[int]:
     where: dict[int, int] = {}
     for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
-    rows, row, full = [], (1 << len(y)) - 1, (1 << len(y)) - 1
-    for v in x:
+    full = (1 << len(y)) - 1
+
+    def after(row: int, v: int) -> int:
         hit = row & where.get(v, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
+        return ((row + hit) | (row - hit)) & full
+
+    size = max(1, math.isqrt(len(x)))
+    firsts, row = [], full  # the row before each block
+    for i, v in enumerate(x):
+        if i % size == 0:
+            firsts.append(row)
+        row = after(row, v)
     # A zero bit j of row i says that the length grows at column j; walk back over the growths.
-    i, j = len(x) - 1, len(y) - 1
-    while i >= 0 and j >= 0:
-        if rows[i] >> j & 1:
-            j -= 1
-        elif i > 0 and not rows[i - 1] >> j & 1:
-            i -= 1
-        else:
-            found.add(a + i)
-            i, j = i - 1, j - 1
+    j = len(y) - 1
+    for block in reversed(range(len(firsts))):
+        rows = [firsts[block]]
+        for v in x[block * size : (block + 1) * size]:
+            rows.append(after(rows[-1], v))
+        i = len(rows) - 2  # rows[i + 1] is the row of line block * size + i
+        while i >= 0 and j >= 0:
+            if rows[i + 1] >> j & 1:
+                j -= 1
+            elif not rows[i] >> j & 1 and block * size + i > 0:
+                i -= 1
+            else:
+                found.add(a + block * size + i)
+                i, j = i - 1, j - 1
     return found
 
 
