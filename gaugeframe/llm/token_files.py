@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import default_tokenizer, fresh_path, table, texts_of
 
 LENGTH, SHARD_RECORDS, ROUNDS = 1024, 4096, 6
+#: Of the run table in a worker.
+RUN_BYTES = 32 << 20
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def sequences(docs: DataFrame, length: int, end_id: int, vocabulary: str, path:
 
         from .bpe import piece_table
 
-        known, end = piece_table(path or default_tokenizer(vocabulary), "ids"), np.array([end_id], "<u4")
+        known, end = piece_table(path or default_tokenizer(vocabulary), "ids", RUN_BYTES), np.array([end_id], "<u4")
         width = known.library.get_vocab_size()
         kind = np.dtype("<u2") if width <= 1 << 16 else np.dtype("<u4")
         part, place, held, held_n, pieces = TaskContext.get().partitionId(), 0, [], 0, []
