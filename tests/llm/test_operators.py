@@ -114,7 +114,7 @@ def test_targets_and_flow():
 def test_kdtree(spark):
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(200)] + [(500, None), (501, [float("nan")] * 6), (None, [1.0] * 6), (550, [1.0, 2.0])]
-    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=60, block_rows=3, group_shards=2).collect()
+    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=60, block_rows=3, boxes=2).collect()
     usable = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and not np.isnan(v).any()]
     want = set()
     for q, x in usable:
