@@ -34,15 +34,14 @@ def psnr(df: DataFrame, mask: Column | None = None) -> DataFrame:
 
 def ssim(df: DataFrame) -> DataFrame:
     """R2: the mean of the three channels' mean maps."""
-    parts = [S.ssim_map(df, g, p).groupBy("img").agg(F.avg("ssim").alias("s")) for g, p in PAIRS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("img").agg(F.avg("s").alias("ssim"))
+    return S.ssim_map(S.together(df), list(PAIRS)).groupBy("img").agg(F.avg("ssim").alias("ssim"))
 
 
 def structure_weighted_chroma(df: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Chromaticity error weighted by Scharr gradients of luminance."""
     total = {s: F.col(f"{s}r") + F.col(f"{s}g") + F.col(f"{s}b") + eps for s in "gp"}
     err = sum((F.abs(F.col(p) / total["p"] - F.col(g) / total["g"]) for g, p in PAIRS), F.lit(0.0)) / 3
-    x = S.gradients(df.withColumns({"err": err, "yg": gray("g"), "yp": gray("p")}), ["yg", "yp"], 3.0, 10.0, 16.0, "reflect")
+    x = S.gradients(S.together(df).withColumns({"err": err, "yg": gray("g"), "yp": gray("p")}), ["yg", "yp"], 3.0, 10.0, 16.0, "reflect")
     w = (F.sqrt(F.col("yg_x") ** 2 + F.col("yg_y") ** 2) + F.sqrt(F.col("yp_x") ** 2 + F.col("yp_y") ** 2)) / 2
     a = x.withColumn("w", w).groupBy("img").agg(F.avg(F.col("w") * F.col("err")).alias("we"), F.avg("w").alias("w"))
     return a.select("img", F.when(F.col("w") < eps, 0.0).otherwise(F.col("we") / (F.col("w") + eps)).alias("sce"))
@@ -68,7 +67,7 @@ def edges(df: DataFrame, side: str, out: str, threshold: float = 0.1, method: st
 
 def edge_f1(df: DataFrame, threshold: float = 0.1, method: str = "sobel") -> DataFrame:
     """R8."""
-    return S.match_edges(edges(edges(df, "g", "eg", threshold, method), "p", "ep", threshold, method), "ep", "eg")
+    return S.match_edges(edges(edges(S.together(df), "g", "eg", threshold, method), "p", "ep", threshold, method), "ep", "eg")
 
 
 def tails(df: DataFrame, by: tuple[str, ...] = ("img",)) -> DataFrame:
@@ -121,7 +120,7 @@ def spectra(df: DataFrame) -> DataFrame:
     transform.__annotations__ = {}
     kind = df.schema["img"].dataType.simpleString()
     x = df.select("img", "r", "c", gray("g").alias("g"), gray("p").alias("p"))
-    return x.groupBy("img").applyInPandas(transform, f"img {kind}, u int, v int, dist double, g double, p double")
+    return S.together(x).groupBy("img").applyInPandas(transform, f"img {kind}, u int, v int, dist double, g double, p double")
 
 
 def high_frequency(df: DataFrame, cutoff: float = 0.25) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Stencils over (img, r, c, ...) relations by windows along rows and columns; an image's pixels meet once by img.
+"""Stencils over (img, r, c, ...) relations by windows along rows and columns. ``together`` brings an image's pixels to
+one partition first, which serves the windows of both directions; without it they would be shuffled for each.
 
 Taps beyond the border are zero or repeat the border pixel.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 
 
+def together(df: DataFrame) -> DataFrame:
+    """The one shuffle of a chain of stencils, into as many partitions as the session says: work on images outweighs
+    their bytes, by which partitions would be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img")
+
+
 def row():
     return Window.partitionBy("img", "r").orderBy("c")
 
@@ -58,7 +65,7 @@ def neighbourhood(df: DataFrame, name: str, out: str, how: str) -> DataFrame:
 def _angles(df: DataFrame, *masks: Column) -> DataFrame:
     """Every pixel, with the angle between its normals where the 3 x 3 neighbourhood is valid."""
     ok = F.coalesce(P.valid(F.col("gt"), F.col("pred"), *masks), F.lit(False)).cast("int")
-    df = gradients(df.withColumn("ok", ok), ["gt", "pred"], 1.0, 2.0, 8.0, "zero")
+    df = gradients(together(df).withColumn("ok", ok), ["gt", "pred"], 1.0, 2.0, 8.0, "zero")
     df = neighbourhood(df, "ok", "inner", "min")
     length = lambda n: F.sqrt(F.col(f"{n}_x") ** 2 + F.col(f"{n}_y") ** 2 + 1)
     dot = (F.col("gt_x") * F.col("pred_x") + F.col("gt_y") * F.col("pred_y") + 1) / (length("gt") * length("pred"))
@@ -105,7 +112,7 @@ def match_edges(df: DataFrame, pred: str, gt: str) -> DataFrame:
 def depth_edge_f1(df: DataFrame, threshold: float = 0.1, method: str = "relative", *masks: Column) -> DataFrame:
     """Edges of both maps on pixels valid in both."""
     ok = P.valid(F.col("gt"), F.col("pred"), *masks)
-    return match_edges(depth_edges(depth_edges(df, "gt", "eg", threshold, method, ok), "pred", "ep", threshold, method, ok), "ep", "eg")
+    return match_edges(depth_edges(depth_edges(together(df), "gt", "eg", threshold, method, ok), "pred", "ep", threshold, method, ok), "ep", "eg")
 
 
 def macro_f1(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,47 +120,57 @@ def macro_f1(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scores.where("n_pred > 0 or n_gt > 0").groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("n_images"))
 
 
-def blur_weights(df: DataFrame, radius: int = 5, sigma: float = 11 / 6) -> DataFrame:
-    """(n, i, j, w): what pixel j of a side of n pixels adds to pixel i, border pixels repeated outwards."""
-    sizes = df.groupBy("img").agg(F.max("r").alias("h"), F.max("c").alias("w")).select(F.explode(F.array(F.col("h") + 1, F.col("w") + 1)).alias("n")).distinct()
-    taps = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("d", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-    total = sum(math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-radius, radius + 1))
-    k = F.pmod(F.col("i") + F.col("d"), 2 * F.col("n"))  # mirrored with the border pixel repeated, any number of times
-    j = F.when(k < F.col("n"), k).otherwise(2 * F.col("n") - 1 - k)
-    return taps.withColumn("j", j).groupBy("n", "i", "j").agg(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)) / total).alias("w"))
-
-
-def blurred(df: DataFrame, columns: list[str]) -> DataFrame:
-    """An 11-tap Gaussian along both axes; 2 x 11 rows a pixel pass the joins, not 121."""
-    weights = F.broadcast(blur_weights(df))  # side lengths x side x 11 taps
-    size = df.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w_"))
-    x = df.select("img", "r", "c", *columns).join(size, "img")
-    for axis, n in (("r", "h"), ("c", "w_")):
-        x = x.join(weights, (x[n] == weights["n"]) & (x[axis] == weights["j"])).drop("n", "j", axis).withColumnRenamed("i", axis)
-        x = x.groupBy("img", "h", "w_", "r", "c").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in columns))
-    return x.drop("h", "w_")
-
-
-def ssim_map(df: DataFrame, a: str, b: str, k1: float = 0.01, k2: float = 0.03, weight: str | None = None) -> DataFrame:
-    """(img, r, c, ssim), and the blurred weight if one is named."""
-    x = df.select("img", "r", "c", F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) ** 2).alias("aa"), (F.col(b) ** 2).alias("bb"), (F.col(a) * F.col(b)).alias("ab"), *([F.col(weight).alias("weight")] if weight else []))
-    m = blurred(x, ["a", "b", "aa", "bb", "ab"] + ["weight"] * bool(weight))
-    va, vb, cov = F.col("aa") - F.col("a") ** 2, F.col("bb") - F.col("b") ** 2, F.col("ab") - F.col("a") * F.col("b")
-    c1, c2 = k1**2, k2**2
-    s = (2 * F.col("a") * F.col("b") + c1) * (2 * cov + c2) / ((F.col("a") ** 2 + F.col("b") ** 2 + c1) * (va + vb + c2))
-    return m.select("img", "r", "c", s.alias("ssim"), *(["weight"] if weight else []))
+def blurred(df: DataFrame, columns: list[str], keep: tuple[str, ...] = (), radius: int = 5, sigma: float = 11 / 6) -> DataFrame:
+    """A Gaussian of 2 * radius + 1 taps along both axes, mirrored with the border pixel repeated; null counts as 0.
+    The numbers of ``keep`` stay as they are (null as NaN). df: as ``together`` or a window by img leaves it. An image is a task's unit: its pixels meet once and are blurred as arrays, without a row for each pixel and tap."""
+    weights = np.exp(-np.arange(-radius, radius + 1) ** 2 / (2 * sigma * sigma))
+    weights /= weights.sum()
+
+    def blur(pixels: pa.Table) -> pa.Table:
+        r, c = (pixels[k].to_numpy() for k in ("r", "c"))
+        h, w = int(r.max()) + 1, int(c.max()) + 1
+        out = [pixels["img"].combine_chunks().take(pa.array(np.zeros(h * w, np.int64)))]
+        out += [pa.array(k.astype(np.int32)) for k in np.divmod(np.arange(h * w), w)]
+        for n in columns:
+            y = np.zeros((h, w))
+            y[r, c] = pixels[n].to_numpy()
+            for pad in (((radius, radius), (0, 0)), ((0, 0), (radius, radius))):
+                wide = np.pad(y, pad, mode="symmetric")
+                y = sum(k * (wide[i : i + h] if pad[0][0] else wide[:, i : i + w]) for i, k in enumerate(weights))
+            out.append(pa.array(y.ravel()))
+        for n in keep:
+            y = np.full((h, w), np.nan)
+            y[r, c] = pixels[n].to_numpy()
+            out.append(pa.array(y.ravel()))
+        return pa.table(out, names=["img", "r", "c", *columns, *keep])
+
+    blur.__annotations__ = {"pixels": pa.Table, "return": pa.Table}
+    kind = df.schema["img"].dataType.simpleString()
+    x = df.select("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in columns), *(F.col(n).cast("double").alias(n) for n in keep))
+    return x.groupBy("img").applyInArrow(blur, f"img {kind}, r int, c int, " + ", ".join(f"`{n}` double" for n in (*columns, *keep)))
+
+
+def ssim_map(df: DataFrame, pairs: list[tuple[str, str]], k1: float = 0.01, k2: float = 0.03, weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(img, r, c, ssim), the mean over the pairs of columns, the blurred weight if one is named, and ``keep``."""
+    c1, c2, inputs, scores = k1**2, k2**2, {}, []
+    for i, (p, q) in enumerate(pairs):
+        inputs |= {f"a{i}": F.col(p), f"b{i}": F.col(q), f"aa{i}": F.col(p) ** 2, f"bb{i}": F.col(q) ** 2, f"ab{i}": F.col(p) * F.col(q)}
+        a, b, aa, bb, ab = (F.col(f"{n}{i}") for n in ("a", "b", "aa", "bb", "ab"))
+        scores.append((2 * a * b + c1) * (2 * (ab - a * b) + c2) / ((a**2 + b**2 + c1) * (aa - a**2 + bb - b**2 + c2)))
+    if weight:
+        inputs["weight"] = F.col(weight)
+    m = blurred(df.select("img", "r", "c", *(x.alias(n) for n, x in inputs.items()), *keep), list(inputs), keep)
+    return m.select("img", "r", "c", (sum(scores[1:], scores[0]) / len(scores)).alias("ssim"), *(["weight"] if weight else []), *keep)
 
 
 def depth_ssim(df: DataFrame, *masks: Column) -> DataFrame:
     """D3: both maps scaled by their common extremes over valid pixels, others 0; the mean where over half of the
     window's weight is valid. Equal constants score 1; an image without valid pixels, or enough of them, 0."""
     ok = F.coalesce(P.valid(F.col("gt"), F.col("pred"), *masks), F.lit(False))
-    x = df.withColumn("ok", ok)
-    of = lambda f, g: f(g(F.when(F.col("ok"), F.col("gt"))), g(F.when(F.col("ok"), F.col("pred"))))
-    e = x.groupBy("img").agg(of(F.least, F.min).alias("lo"), of(F.greatest, F.max).alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    scaled = lambda c: F.when(F.col("ok"), (F.col(c) - F.col("lo")) / span).otherwise(0.0)
-    whole = x.join(e.where(span >= 1e-8), "img").withColumns({"a": scaled("gt"), "b": scaled("pred"), "weight": F.col("ok").cast("double")})
-    s = ssim_map(whole, "a", "b", weight="weight").groupBy("img").agg(F.avg(F.when(F.col("weight") > 0.5, F.col("ssim"))).alias("s"))
-    flat = F.when(span < 1e-8, 1.0)
-    return e.join(s, "img", "left").select("img", F.coalesce(flat, "s", F.lit(0.0)).alias("ssim"))
+    w = Window.partitionBy("img")
+    of = lambda f, g: f(*(g(F.when(F.col("ok"), F.col(n))).over(w) for n in ("gt", "pred")))
+    x = together(df.withColumn("ok", ok)).withColumns({"lo": of(F.least, F.min), "hi": of(F.greatest, F.max)}).withColumn("span", F.col("hi") - F.col("lo"))
+    scaled = lambda c: F.when(F.col("ok") & (F.col("span") >= 1e-8), (F.col(c) - F.col("lo")) / F.col("span")).otherwise(0.0)
+    x = x.withColumns({"a": scaled("gt"), "b": scaled("pred"), "weight": F.col("ok").cast("double")})
+    s = ssim_map(x, [("a", "b")], weight="weight", keep=("span",)).groupBy("img").agg(F.avg(F.when(F.col("weight") > 0.5, F.col("ssim"))).alias("s"), F.min("span").alias("span"))
+    return s.select("img", F.coalesce(F.when(F.col("span") < 1e-8, 1.0), "s", F.lit(0.0)).alias("ssim"))
