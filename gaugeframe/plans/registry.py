@@ -124,7 +124,44 @@ def _ancestors(spark, sf_dir):
     return sets.ancestor(h, at_nation.unionByName(r.select(F.col("r_name").alias("node"), (F.col("r_regionkey") + 900).cast("double").alias("fx"))))
 
 
+def _odd_scores(spark, sf_dir):
+    """Scores on both sides of every limit of C7-C17, some infinite or NaN; one image a part."""
+    k = F.col("p_partkey").cast("long")
+    share = lambda by, of, less=0, scale=100: (((k * by) % of) - less).cast("double") / scale
+    return A.read(spark, sf_dir, "part").select(
+        k.alias("img"), share(7, 60, 0, 1).alias("mean_normal_angle"), (k * 13 % 150).alias("normal_pixels"), share(1, 1000, 0, 1600).alias("gt_edge_ratio"), share(1, 10, -95).alias("rgb_max"), share(1, 4, 2).alias("rgb_min"),
+        F.when(k % 50 == 0, float("inf")).otherwise(share(1, 70, 0, 1)).alias("rgb_psnr"), share(1, 100).alias("rgb_ssim"), share(3, 100).alias("rgb_lpips"), share(7, 100).alias("tail_p99"), share(1, 21, 10, 10).alias("hf_relative_diff"), (k % 9).alias("bin_pixels"),
+        share(1, 20).alias("norm_error"), (k % 11).alias("n_rays"), F.when(k % 13 == 0, float("nan")).otherwise(share(11, 100)).alias("rho_a"), share(1, 45, 0, 1).alias("mean_ray_angle"),
+    )
+
+
+def _spaces(spark, sf_dir):
+    """The space of inputs as they are, scaled down, and hinted at, and what a fitted and a plain run report."""
+    px, rows = A.depth_pixels(spark, sf_dir).where("pred > 0"), []
+    small = px.withColumn("pred", F.col("pred") / 1000)
+    for name, df, hint in (("as_is", px, None), ("small", small, None), ("relative", px, "relative"), ("affine", small, "affine")):
+        space = depth.input_space(df, hint)
+        rows += [(name, space, fitted, *depth.emitted(space, fitted).values()) for fitted in (False, True)]
+    return spark.createDataFrame(rows, "name string, space string, fitted boolean, native boolean, metric boolean")
+
+
+def _threshold(spark, sf_dir):
+    """Y4 by the domain that Y3 finds."""
+    limits = F.create_map(*(F.lit(x) for d in P.FOV_THRESHOLDS for x in (d, P.fov_threshold(d.upper()))))
+    return _fov(spark, sf_dir).select("img", limits[F.col("domain")].alias("threshold"))
+
+
+def _min_depth(spark, sf_dir):
+    """P4."""
+    ok = {f"n_{n}": F.count_if(P.valid(F.col("gt"), F.col("pred"), min_depth=m)) for n, m in (("default", 1e-3), ("far", 30.0))}
+    return A.depth_pixels(spark, sf_dir).groupBy("img").agg(*(x.alias(n) for n, x in ok.items()))
+
+
 QUERIES = {
+    "C7_C17_warnings": lambda spark, sf_dir: _rounded(rules.warnings(_odd_scores(spark, sf_dir))),
+    "P4_valid_min_depth": _min_depth,
+    "P16_P17_spaces": _spaces,
+    "Y4_fov_threshold": _threshold,
     "E1_evaluate_depth_spaces": _run_depth,
     "E4_evaluate_rays": _run_rays,
     "J3_nearest_ancestor": _ancestors,
@@ -405,6 +442,42 @@ ORACLES = {
     "P14_align_linear": f"WITH {RGB}, t AS (SELECT CAST(y.t AS INTEGER) AS tr, CAST(x.t AS INTEGER) AS tc, least(greatest((y.t + 0.5::DOUBLE) * 8 / 11 - 0.5, 0), 7) AS fy, least(greatest((x.t + 0.5::DOUBLE) * 8 / 10 - 0.5, 0), 7) AS fx FROM range(11) y(t), range(10) x(t)), "
     "k AS (SELECT tr, tc, floor(fy) + dy.d AS sr, floor(fx) + dx.d AS sc, CASE dy.d WHEN 0 THEN 1 - fy + floor(fy) ELSE fy - floor(fy) END * CASE dx.d WHEN 0 THEN 1 - fx + floor(fx) ELSE fx - floor(fx) END AS w FROM t, range(2) dy(d), range(2) dx(d)) "
     "SELECT img, tr AS r, tc AS c, round(sum(gr * w), 6) AS gr, round(sum(gg * w), 6) AS gg, round(sum(gb * w), 6) AS gb FROM g JOIN k ON g.r = sr AND g.c = sc GROUP BY ALL",
+    "C7_C17_warnings": """
+WITH s AS (
+  SELECT p_partkey AS img, p_partkey * 7 % 60 * 1.0::DOUBLE AS normal, p_partkey * 13 % 150 * 1.0::DOUBLE AS pixels, p_partkey % 1000 / 1600::DOUBLE AS edge, (p_partkey % 10 + 95) / 100::DOUBLE AS mx, (p_partkey % 4 - 2) / 100::DOUBLE AS mn,
+    CASE WHEN p_partkey % 50 <> 0 THEN p_partkey % 70 * 1.0::DOUBLE END AS psnr, p_partkey % 100 / 100::DOUBLE AS ssim, p_partkey * 3 % 100 / 100::DOUBLE AS lpips, p_partkey * 7 % 100 / 100::DOUBLE AS tail, (p_partkey % 21 - 10) / 10::DOUBLE AS hf,
+    p_partkey % 9 * 1.0::DOUBLE AS bin, p_partkey % 20 / 100::DOUBLE AS norm, p_partkey % 11 * 1.0::DOUBLE AS rays, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey * 11 % 100 / 100::DOUBLE END AS rho, p_partkey % 45 * 1.0::DOUBLE AS angle FROM part
+), w AS (
+  SELECT img, 'normal_consistency' AS metric, 'too_high' AS warning_type, normal AS observed FROM s WHERE normal > 45
+  UNION ALL SELECT img, 'normal_consistency', 'few_pixels', pixels FROM s WHERE pixels < 100
+  UNION ALL SELECT img, 'depth_edge_f1', 'too_low', edge FROM s WHERE edge < 0.001
+  UNION ALL SELECT img, 'depth_edge_f1', 'too_high', edge FROM s WHERE edge > 0.5
+  UNION ALL SELECT img, 'rgb_input', 'too_high', mx FROM s WHERE mx > 1.01::DOUBLE
+  UNION ALL SELECT img, 'rgb_input', 'too_low', mn FROM s WHERE mn < -0.01::DOUBLE
+  UNION ALL SELECT img, 'rgb_psnr', 'too_low', psnr FROM s WHERE psnr < 10
+  UNION ALL SELECT img, 'rgb_psnr', 'too_high', psnr FROM s WHERE psnr > 60
+  UNION ALL SELECT img, 'rgb_ssim', 'too_low', ssim FROM s WHERE ssim < 0.3::DOUBLE
+  UNION ALL SELECT img, 'rgb_lpips', 'too_high', lpips FROM s WHERE lpips > 0.7::DOUBLE
+  UNION ALL SELECT img, 'tail_errors', 'too_high', tail FROM s WHERE tail > 0.5
+  UNION ALL SELECT img, 'high_freq_energy', 'too_low', hf FROM s WHERE hf < -0.5
+  UNION ALL SELECT img, 'depth_binned', 'empty_bin', bin FROM s WHERE bin = 0
+  UNION ALL SELECT img, 'rays_input', 'not_unit', norm FROM s WHERE norm > 0.1::DOUBLE
+  UNION ALL SELECT img, 'rays_input', 'no_valid_pixels', rays FROM s WHERE rays = 0
+  UNION ALL SELECT img, 'rays_rho_a', 'too_low', rho FROM s WHERE rho < 0.3::DOUBLE
+  UNION ALL SELECT img, 'rays_rho_a', 'too_high', angle FROM s WHERE angle > 30
+)
+SELECT img, metric, warning_type, round(observed, 6) AS observed FROM w""",
+    "P4_valid_min_depth": f"WITH {PX} SELECT img, count(*) FILTER (WHERE isfinite(gt) AND isfinite(pred) AND gt > 0.001 AND pred > 0.001) AS n_default, count(*) FILTER (WHERE isfinite(gt) AND isfinite(pred) AND gt > 30 AND pred > 30) AS n_far FROM px GROUP BY img",
+    "P16_P17_spaces": f"""
+WITH {PX}, f AS (
+  SELECT max(pred) AS hi FROM px WHERE pred > 0 AND isfinite(pred) AND img = (SELECT min(img) FROM px WHERE pred > 0)
+), d AS (
+  SELECT 'as_is' AS name, CASE WHEN hi <= 1.001 THEN 'normalized' ELSE 'metric' END AS space FROM f
+  UNION ALL SELECT 'small', CASE WHEN hi / 1000 <= 1.001 THEN 'normalized' ELSE 'metric' END FROM f
+  UNION ALL SELECT 'relative', 'relative' UNION ALL SELECT 'affine', 'affine'
+)
+SELECT name, space, fitted, fitted OR space <> 'metric' AS native, fitted OR space = 'metric' AS metric FROM d, (VALUES (false), (true)) t(fitted)""",
+    "Y4_fov_threshold": "WITH f AS (SELECT s_suppkey AS img, degrees(2 * atan(sqrt((640 / (2 * ((s_suppkey % 40) * 25 + 40.0::DOUBLE))) ** 2 + (480 / (2 * ((s_suppkey % 40) * 25 + 40.0::DOUBLE))) ** 2))) AS d FROM supplier) SELECT img, CASE WHEN d <= 90 THEN 15.0::DOUBLE WHEN d >= 160 THEN 30.0::DOUBLE ELSE 20.0::DOUBLE END AS threshold FROM f",
     "C_warnings": f"WITH {SCORES} SELECT img, metric, warning_type, round(observed, 6) AS observed FROM w",
     "A18_warning_summary": f"WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY metric, warning_type ORDER BY img) AS k FROM w) SELECT metric, warning_type, count(*) AS n, string_agg(CAST(CAST(round(observed, 4) AS DECIMAL(20, 4)) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 5) AS first_values FROM k GROUP BY metric, warning_type",
 }
