@@ -145,8 +145,8 @@ def blurred(df: DataFrame, columns: list[str], keep: tuple[str, ...] = (), radiu
         return pa.table(out, names=["img", "r", "c", *columns, *keep])
 
     blur.__annotations__ = {"pixels": pa.Table, "return": pa.Table}
-    kind = df.schema["img"].dataType.simpleString()
-    x = df.select("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in columns), *(F.col(n).cast("double").alias(n) for n in keep))
+    kind = df.schema["img"].dataType.simpleString()  # the cast lets the fields of a struct be null, as this type says
+    x = df.select(F.col("img").cast(kind).alias("img"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in columns), *(F.col(n).cast("double").alias(n) for n in keep))
     return x.groupBy("img").applyInArrow(blur, f"img {kind}, r int, c int, " + ", ".join(f"`{n}` double" for n in (*columns, *keep)))
 
 
