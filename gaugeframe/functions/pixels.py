@@ -49,6 +49,16 @@ def mean_finite(x: Column) -> Column:
     return F.avg(F.when(finite(x), x))
 
 
+def quantile(held: Column, p: float) -> Column:
+    """The interpolated quantile of a sorted array, null if it is empty. As in the SQL, whose quantile_cont rounds the
+    first product and the sum at once: values that are equal but for their last bit straddle the limits of the rules."""
+    at = p * (F.size(held) - 1)
+    k = F.floor(at).cast("int")
+    low, high, part = F.get(held, k), F.get(held, F.least(k + 1, F.size(held) - 1)), at - k
+    mixed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when(F.size(held) > 0, F.when(low == high, low).otherwise(mixed))
+
+
 def or_nan(x: Column) -> Column:
     """The score of an image without valid pixels."""
     return F.coalesce(x, F.lit(NAN))

@@ -65,12 +65,13 @@ def psnr(df: DataFrame, *masks) -> DataFrame:
 
 
 def stats(df: DataFrame, *masks) -> DataFrame:
-    """Mean, median and 90th percentile of each error within an image; NaN without any."""
+    """Mean, median and 90th percentile of each error within an image; NaN without any. An
+    image's errors meet in a task, as they do for percentiles."""
     e = errors(df, *masks)
-    q = lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.9)))
-    a = e.groupBy("img").agg(F.avg("rel").alias("absrel"), q("rel").alias("qr"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), q(F.abs("d")).alias("qd"), F.avg(F.col("l") * F.col("l")).alias("l2"), F.avg("l").alias("l1"), q(F.abs("l")).alias("ql"))
+    held = lambda c: F.sort_array(F.collect_list(c))
+    a = e.groupBy("img").agg(F.avg("rel").alias("absrel"), held("rel").alias("hr"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), held(F.abs("d")).alias("hd"), F.avg(F.col("l") * F.col("l")).alias("l2"), F.avg("l").alias("l1"), held(F.abs("l")).alias("hl"))
     silog = F.when(F.col("l1").isNotNull(), F.sqrt(F.greatest(F.col("l2") - F.col("l1") * F.col("l1"), F.lit(0.0))))
-    found = {"absrel": F.col("absrel"), "absrel_median": F.col("qr")[0], "absrel_p90": F.col("qr")[1], "rmse": F.col("rmse"), "rmse_median": F.col("qd")[0], "rmse_p90": F.col("qd")[1], "silog": silog, "silog_median": F.col("ql")[0], "silog_p90": F.col("ql")[1]}
+    found = {"absrel": F.col("absrel"), "absrel_median": P.quantile(F.col("hr"), 0.5), "absrel_p90": P.quantile(F.col("hr"), 0.9), "rmse": F.col("rmse"), "rmse_median": P.quantile(F.col("hd"), 0.5), "rmse_p90": P.quantile(F.col("hd"), 0.9), "silog": silog, "silog_median": P.quantile(F.col("hl"), 0.5), "silog_p90": P.quantile(F.col("hl"), 0.9)}
     return a.select("img", *(P.or_nan(x).alias(name) for name, x in found.items()))
 
 

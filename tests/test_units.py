@@ -2,6 +2,7 @@ import json
 import math
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,14 @@ def test_resize(spark):
     assert resize.align_to_prediction(df.limit(0), ["v"], "depth", 9, 9, 3, 3).count() == 0
     flat = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, 2.0), (2, 0, 0, None), (2, 0, 1, -1.0)], "img long, r int, c int, d double")
     assert {x.normalised for x in resize.normalised(flat, "d").collect()} == {0.0}
+
+
+def test_quantiles_of_an_image_are_those_of_sql(spark, tmp_path):
+    """To the last bit, as the limits of the rules lie on values that are equal but for it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 1.0, 1 + float(p)) for i in range(60) for p in rng.random(1 + i * 3)]
+    df = spark.createDataFrame([*rows, (99, 0.0, 1.0)], "img int, gt double, pred double")
+    df.write.parquet(str(tmp_path / "px"))
+    want = duckdb.sql(f"SELECT img, quantile_cont(abs(pred - gt) / gt, 0.5), quantile_cont(abs(pred - gt) / gt, 0.9) FROM '{tmp_path}/px/*.parquet' WHERE gt > 0 GROUP BY img").fetchall()
+    got = {r.img: (r.img, r.absrel_median, r.absrel_p90) for r in depth.stats(df).collect()}
+    assert math.isnan(got.pop(99)[1]) and sorted(got.values()) == sorted(want)
