@@ -3,7 +3,7 @@ is null."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
@@ -98,9 +98,14 @@ def _warned(spark, sf_dir):
     return _rounded(rules.warnings(_scores(spark, sf_dir), TIGHT))
 
 
+def _four_digits(v: Column) -> Column:
+    """As the SQL rounds: the double times 10 000, where a tie of the decimals need not be one."""
+    return (F.round(v * 10000) / 10000).cast("decimal(20,4)").cast("string")
+
+
 def _warning_summary(spark, sf_dir):
     s = rules.summary(rules.warnings(_scores(spark, sf_dir), TIGHT))
-    return s.select("metric", "warning_type", "n", F.array_join(F.transform("first_values", lambda v: F.round(v, 4).cast("decimal(20,4)").cast("string")), ",").alias("first_values"))
+    return s.select("metric", "warning_type", "n", F.array_join(F.transform("first_values", _four_digits), ",").alias("first_values"))
 
 
 def _edge_macro(df):

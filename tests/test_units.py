@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import pixels as P
 from gaugeframe.operators import depth, sets
+from gaugeframe.plans import registry
 from gaugeframe.sinks import results
 from gaugeframe.sources import arrays, config
 
@@ -127,3 +128,10 @@ def test_quantiles_of_an_image_are_those_of_sql(spark, tmp_path):
     want = duckdb.sql(f"SELECT img, quantile_cont(abs(pred - gt) / gt, 0.5), quantile_cont(abs(pred - gt) / gt, 0.9) FROM '{tmp_path}/px/*.parquet' WHERE gt > 0 GROUP BY img").fetchall()
     got = {r.img: (r.img, r.absrel_median, r.absrel_p90) for r in depth.stats(df).collect()}
     assert math.isnan(got.pop(99)[1]) and sorted(got.values()) == sorted(want)
+
+
+def test_four_digits_as_in_sql(spark):
+    """Depths of five decimals: 104.00025 times 10 000 is under the tie."""
+    df = spark.createDataFrame([(x / 100000,) for x in range(10400005, 10420000, 10)], "v double")
+    got = sorted((r.v, r.s) for r in df.select("v", registry._four_digits(F.col("v")).alias("s")).collect())
+    assert got == duckdb.sql("SELECT v, CAST(CAST(round(v, 4) AS DECIMAL(20, 4)) AS VARCHAR) FROM (SELECT x / 100000::DOUBLE AS v FROM range(10400005, 10420000, 10) t(x)) ORDER BY v").fetchall()
