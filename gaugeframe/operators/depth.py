@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,11 @@ def standard(df: DataFrame, *masks, by: tuple[str, ...] = ("img",)) -> DataFrame
 def reducers(df: DataFrame, *masks, by: tuple[str, ...] = ()) -> DataFrame:
     """A1: each score as mean and median over images that have it, and over the pool of all pixels; one pass over the
     pixels."""
-    images = errors(df, *masks).groupBy("img", *by).agg(*sums())
+    return over_images(errors(df, *masks).groupBy("img", *by).agg(*sums()), by)
+
+
+def over_images(images: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A1 from the sums of each image (img, by, ...)."""
     stats = [c for c in images.columns if c not in ("img", *by)]
     scored = images.select("*", *from_sums())
     many = scored.groupBy(*by).agg(*(F.sum(c).alias(c) for c in stats), *(P.mean_finite(F.col(m)).alias(f"{m}_mean") for m in STANDARD), *(F.median(F.when(P.finite(F.col(m)), F.col(m))).alias(f"{m}_median") for m in STANDARD))
@@ -76,61 +82,74 @@ def stats(df: DataFrame, *masks) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, values: dict, probabilities: list[float], buckets: int = 4096) -> dict[str, list[float]]:
-    """A2 at scale: exact interpolated quantiles of several expressions over all rows, without gathering a column.
-    values: name -> expression; what is not finite is left out. The values are counted in equal buckets between their
-    extremes, in one pass for all, then the buckets that hold a wanted rank are cut into finer ones, until they hold
-    ``buckets`` values at most or one value. Only counts, and the values of these last buckets, come to the driver."""
-    x = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()))).alias("x")).select("x.*").where(P.finite(F.col("v")))
-    ends = {r["name"]: (r["low"], r["high"], r["n"]) for r in x.groupBy("name").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).collect()}
-    # (name, first value, last value, rank of the first, number) of the ranges that hold a wanted rank
-    ranks = {name: sorted({k for p in probabilities for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}) for name, (_, _, n) in ends.items()}
-    found: dict[tuple[str, int], float] = {}
-    work = [(name, low, high, 0, n) for name, (low, high, n) in ends.items()]
+    """A2 at scale: exact interpolated quantiles of several expressions over all rows; name -> expression."""
+    return group_quantiles(df, [], values, probabilities, buckets)[()]
+
+
+def group_quantiles(df: DataFrame, by: list[str], values: dict, probabilities: list[float], buckets: int = 4096) -> dict[tuple, dict[str, list[float]]]:
+    """Exact interpolated quantiles of several expressions in each group, without gathering a column. values: name ->
+    expression; what is not finite is left out. The values are counted in equal buckets between their extremes, in one
+    pass for all names and groups, then the buckets that hold a wanted rank are cut into finer ones, until they hold
+    ``buckets`` values at most or one value. Only counts and the values at the wanted ranks come to the driver, which
+    must hold the groups."""
+    names = list(values)
+    v = [x.cast("double") for x in values.values()]
+    ok = [F.when(P.finite(x), x) for x in v]
+    ends = df.groupBy(*by).agg(*(f(x).alias(f"{n}{j}") for j, x in enumerate(ok) for n, f in (("low", F.min), ("high", F.max), ("n", F.count)))).collect()
+    size = {(tuple(r[c] for c in by), j): r[f"n{j}"] for r in ends for j in range(len(names))}
+    ranks = {key: sorted({k for p in probabilities for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}) if n else [] for key, n in size.items()}
+    x = df.select(*by, F.explode(F.array(*(F.struct(F.lit(j).alias("name"), e.alias("v")) for j, e in enumerate(v)))).alias("x")).select(*by, "x.*").where(P.finite(F.col("v")))
+    found: dict[tuple, float] = {}
+    # (group and name, first value, last value, rank of the first, number) of the ranges that hold a wanted rank
+    work = [((g, j), r[f"low{j}"], r[f"high{j}"], 0, r[f"n{j}"]) for r in ends for g in (tuple(r[c] for c in by),) for j in range(len(names)) if r[f"n{j}"]]
     while work:
-        wide = []
-        for name, low, high, first, n in work:
+        small, wide = [], []
+        for key, low, high, first, n in work:
             if low == high:
-                found.update({(name, k): low for k in ranks[name] if first <= k < first + n})
+                found.update({(key, k): low for k in ranks[key] if first <= k < first + n})
             else:
-                wide.append((name, low, high, first, n))
-        small = [w for w in wide if w[4] <= buckets]
+                (small if n <= buckets else wide).append((key, low, high, first, n))
         if small:
-            near = _within(x, small)
-            for i, (name, _, _, first, _) in enumerate(small):
-                held = sorted(r["v"] for r in near.where(F.col("i") == i).select("v").collect())  # ``buckets`` at most
-                found.update({(name, k): held[k - first] for k in ranks[name] if first <= k < first + len(held)})
-        wide = [w for w in wide if w[4] > buckets]
+            wanted = [[k for k in ranks[key] if first <= k < first + n] for key, _, _, first, n in small]
+            offsets = [[k - first for k in ks] for ks, (_, _, _, first, _) in zip(wanted, small, strict=True)]
+            held = _within(x, by, small, offsets).groupBy("i", "offsets").agg(F.sort_array(F.collect_list("v")).alias("held"))  # ``buckets`` at most
+            for r in held.select("i", F.transform("offsets", lambda o: F.get("held", o)).alias("at")).collect():
+                found.update({(small[r["i"]][0], k): at for k, at in zip(wanted[r["i"]], r["at"], strict=True)})
         work = []
         if wide:
-            step = F.lit(None).cast("int")
-            for i, (_, low, high, _, _) in enumerate(wide):
-                step = F.when(F.col("i") == i, F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / (high - low) * buckets)).cast("int")).otherwise(step)
-            counts = _within(x, wide).groupBy("i", step.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # ``buckets`` rows a range
-            for i, (name, _, _, first, _) in enumerate(wide):
-                for r in sorted((r for r in counts if r["i"] == i), key=lambda r: r["low"]):
-                    if any(first <= k < first + r["n"] for k in ranks[name]):
-                        work.append((name, r["low"], r["high"], first, r["n"]))
-                    first += r["n"]
-    out = {}
-    for name in values:
-        n = ends.get(name, (0, 0, 0))[2]
-        out[name] = []
-        for p in probabilities:
-            if n:
-                k = int(p * (n - 1))
-                a, b = found[name, k], found[name, min(k + 1, n - 1)]
-                out[name].append(a + (b - a) * (p * (n - 1) - k))
-            else:
-                out[name].append(float("nan"))
+            step = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets)).cast("int")
+            counts = _within(x, by, wide).groupBy("i", step.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # ``buckets`` rows a range
+            first = [w[3] for w in wide]
+            for r in sorted(counts, key=lambda r: (r["i"], r["low"])):
+                key, start = wide[r["i"]][0], first[r["i"]]
+                if any(start <= k < start + r["n"] for k in ranks[key]):
+                    work.append((key, r["low"], r["high"], start, r["n"]))
+                first[r["i"]] += r["n"]
+
+    def quantile(key: tuple, p: float) -> float:
+        n = size[key]
+        if not n:
+            return float("nan")
+        k = int(p * (n - 1))
+        a, b, part = found[key, k], found[key, min(k + 1, n - 1)], p * (n - 1) - k
+        return a if a == b else math.fma(a, 1 - part, b * part)  # as pixels.quantile
+
+    out: dict[tuple, dict[str, list[float]]] = {}
+    for g, j in size:
+        out.setdefault(g, {})[names[j]] = [quantile((g, j), p) for p in probabilities]
     return out
 
 
-def _within(x: DataFrame, ranges: list[tuple]) -> DataFrame:
-    """(i, v): the values of x (name, v) that lie in range i."""
-    i = F.lit(None).cast("int")
-    for k, (name, low, high, *_) in enumerate(ranges):
-        i = F.when((F.col("name") == name) & F.col("v").between(low, high), k).otherwise(i)
-    return x.select(i.alias("i"), "v").where("i is not null")
+def _within(x: DataFrame, by: list[str], ranges: list[tuple], offsets: list[list[int]] | None = None) -> DataFrame:
+    """(i, low, high, offsets, v): the values of x (by, name, v) that lie in range i. A few ranges for each group and
+    name, so they are sent to all tasks."""
+    kinds = [f"__g{k} {x.schema[c].dataType.simpleString()}" for k, c in enumerate(by)]
+    rows = [(i, *g, j, low, high, offsets[i] if offsets else None) for i, ((g, j), low, high, _, _) in enumerate(ranges)]
+    r = x.sparkSession.createDataFrame(rows, ", ".join(["i int", *kinds, "__name int", "low double", "high double", "offsets array<int>"]))
+    same = (F.col("name") == F.col("__name")) & F.col("v").between(F.col("low"), F.col("high"))
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    return x.join(F.broadcast(r), same).select("i", "low", "high", "offsets", "v")
 
 
 def pooled_quantiles(df: DataFrame, *masks) -> DataFrame:

@@ -66,17 +66,21 @@ def _keys() -> list[Column]:
     return [F.col("img.space").alias("space"), F.col("img.id").alias("img")]
 
 
-def _depth_summary(px: DataFrame, masks: list[Column], by: list[str]) -> list[DataFrame]:
-    """The standard scores, and medians and 90th percentiles over pixels, for each group."""
-    e = depth.errors(px, *masks)
-    standard = depth.reducers(px, *masks, by=tuple(by)).select(*by, F.concat_ws(".", F.lit("standard"), "reduction", "metric").alias("path"), "value")
-    groups = px.select(*by).distinct().collect()  # spaces x bins
-    values = {(i, m): F.when(F.lit(True) if not by else F.struct(*by) == F.struct(*(F.lit(v) for v in g)), x) for i, g in enumerate(groups) for m, x in (("absrel", F.col("rel")), ("rmse", F.abs("d")), ("silog", F.abs("l")))}
-    q = depth.exact_quantiles(e, {f"{i}.{m}": v for (i, m), v in values.items()}, [0.5, 0.9])
-    rows = [(*g, f"depth_metrics.{m}.{n}", x) for i, g in enumerate(groups) for m in ("absrel", "rmse", "silog") for n, x in zip(("median", "p90"), q[f"{i}.{m}"], strict=True)]
-    kinds = ", ".join([*(f"{c} string" for c in by), "path string", "value double"])
-    silog = depth.standard(px, *masks, by=("img", *by)).groupBy(*by).agg(P.mean_finite(F.col("silog")).alias("value")).select(*by, F.lit("depth_metrics.silog.mean").alias("path"), "value")
-    return [standard, px.sparkSession.createDataFrame(rows, kinds), silog]
+def _depth_summary(px: DataFrame, masks: list[Column], benchmark: tuple[float, float] | None) -> list[DataFrame]:
+    """The standard scores, and medians and 90th percentiles over pixels, by space and bin; the bin of all pixels is
+    empty. Sums are taken once for each bin and added up to ``all`` and the set."""
+    bin_ = P.benchmark_bin(F.col("gt"), *benchmark) if benchmark else F.lit(None).cast("string")
+    e = depth.errors(px, *masks).select("img", F.col("img.space").alias("space"), bin_.alias("bin"), "gt", "rel", "d", "l", "ratio")
+    bins = F.explode(F.when(F.col("bin").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col("bin"), F.lit("all")))).alias("bin")
+    parts = e.groupBy("img", "space", "bin").agg(*depth.sums())
+    stats = [c for c in parts.columns if c not in ("img", "space", "bin")]
+    images = parts.select("img", "space", bins, *stats).groupBy("img", "space", "bin").agg(*(F.sum(c).alias(c) for c in stats))
+    path = F.concat_ws(".", F.lit("standard"), "reduction", "metric")
+    also = F.when(path == "standard.image_mean.silog", F.array(path, F.lit("depth_metrics.silog.mean"))).otherwise(F.array(path))
+    standard = depth.over_images(images, ("space", "bin")).select("space", "bin", F.explode(also).alias("path"), "value")
+    q = depth.group_quantiles(e.select("space", bins, "rel", "d", "l"), ["space", "bin"], {"absrel": F.col("rel"), "rmse": F.abs("d"), "silog": F.abs("l")}, [0.5, 0.9], 1024)
+    rows = [(*g, f"depth_metrics.{m}.{n}", x) for g, of in q.items() for m, pair in of.items() for n, x in zip(("median", "p90"), pair, strict=True)]
+    return [standard, px.sparkSession.createDataFrame(rows, "space string, bin string, path string, value double")]
 
 
 def evaluate_depth(pixels: DataFrame, mode: str = "auto_affine", hint: str | None = None, sky: bool = False, benchmark: tuple[float, float] | None = None, dense: bool = True) -> Evaluation:
@@ -87,8 +91,7 @@ def evaluate_depth(pixels: DataFrame, mode: str = "auto_affine", hint: str | Non
     standard = depth.standard(px, *masks)
     one = {f"standard.{m}": F.col(m) for m in depth.STANDARD} | {"depth_metrics.absrel": F.col("absrel"), "depth_metrics.rmse": F.col("rmse"), "depth_metrics.silog": F.col("silog")}
     images = [_long(standard, _keys(), one if dense else one | {"depth_metrics.valid_pixel_count": F.col("n")})]
-    spaced = px.withColumn("space", F.col("img.space"))
-    summary = _depth_summary(spaced, masks, ["space"])
+    summary = []
     if dense:
         psnr, ssim = depth.psnr(px, *masks), stencil.depth_ssim(px)
         normals, edges = stencil.normal_consistency(px, *masks), stencil.depth_edge_f1(px, 0.1, "relative", *masks)
@@ -106,11 +109,7 @@ def evaluate_depth(pixels: DataFrame, mode: str = "auto_affine", hint: str | Non
         summary.append(px.sparkSession.createDataFrame([(n, f"{at}.median_angle", median[n][0]) for n in spaces], "space string, path string, value double"))
         macro = stencil.macro_f1(edges.withColumn("space", F.col("img.space")), ("space",))
         summary.append(_long(macro, ["space"], {f"geometric_metrics.depth_edge_f1.{m}": F.col(m) for m in ("precision", "recall", "f1")}))
-    rows = [s.select("space", F.lit("").alias("bin"), "path", "value") for s in summary]
-    if benchmark:
-        bin_ = P.benchmark_bin(F.col("gt"), *benchmark)
-        binned = spaced.withColumn("bin", F.explode(F.when(bin_.isNotNull(), F.array(bin_, F.lit("all")))))
-        rows += [s.select("space", "bin", "path", "value") for s in _depth_summary(binned, masks, ["space", "bin"])]
+    rows = _depth_summary(px, masks, benchmark) + [s.select("space", F.lit("").alias("bin"), "path", "value") for s in summary]
     return Evaluation(_union(images), _union(rows), found)
 
 

@@ -93,3 +93,19 @@ def test_indexes(spark):
     assert index.metadata(TREE, "depth") == {"scale_to_meters": 0.01, "radial_depth": True}
     sky = spark.createDataFrame([(29,), (3,), (None,)], "k int").select(index.sky_valid(F.col("k"), 29).alias("v"), index.sky_valid(F.col("k"), None).alias("w")).collect()
     assert [tuple(r) for r in sky] == [(False, True), (True, True), (True, True)]
+
+
+def test_jobs_do_not_grow_with_the_ranges_of_quantiles(spark):
+    """Spaces, bins and errors share the passes over the pixels."""
+    frames = {str(i): ([[1 + (i * 7 + k * 3) % 70 for k in range(9)]], [[0.01 * (1 + (i * 5 + k * 3) % 60) for k in range(9)]]) for i in range(20)}
+    px = maps(spark, frames)
+    spark.sparkContext.setJobGroup("jobs of a run", "")
+    run = E.evaluate_depth(px, benchmark=(1.0, 80.0), dense=False)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("jobs of a run"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    s = values(run.summary, "space", "bin", "path")
+    assert {k[:2] for k in s} == {(a, b) for a in ("native", "metric") for b in ("", "near", "mid", "far", "all")} and jobs <= 40, jobs
+    e = depth.errors(px.withColumn("bin", E.P.benchmark_bin(F.col("gt"), 1.0, 80.0)))
+    for b, of in (("", e), ("near", e.where("bin = 'near'")), ("all", e.where("bin is not null"))):
+        assert s["native", b, "depth_metrics.rmse.p90"] == pytest.approx(of.select(F.percentile(F.abs("d"), 0.9)).first()[0])
+        assert s["native", b, "standard.pixel_pool.absrel"] == pytest.approx(of.select(F.avg("rel")).first()[0])
