@@ -91,7 +91,7 @@ def group_quantiles(df: DataFrame, by: list[str], values: dict, probabilities: l
     expression; what is not finite is left out. The values are counted in equal buckets between their extremes, in one
     pass for all names and groups, then the buckets that hold a wanted rank are cut into finer ones, until they hold
     ``buckets`` values at most or one value. Only counts and the values at the wanted ranks come to the driver, which
-    must hold the groups."""
+    must hold the groups. The values must be the same in each pass; an error if they were seen to move."""
     names = list(values)
     v = [x.cast("double") for x in values.values()]
     ok = [F.when(P.finite(x), x) for x in v]
@@ -114,7 +114,7 @@ def group_quantiles(df: DataFrame, by: list[str], values: dict, probabilities: l
             offsets = [[k - first for k in ks] for ks, (_, _, _, first, _) in zip(wanted, small, strict=True)]
             held = _within(x, by, small, offsets).groupBy("i", "offsets").agg(F.sort_array(F.collect_list("v")).alias("held"))  # ``buckets`` at most
             for r in held.select("i", F.transform("offsets", lambda o: F.get("held", o)).alias("at")).collect():
-                found.update({(small[r["i"]][0], k): at for k, at in zip(wanted[r["i"]], r["at"], strict=True)})
+                found.update({(small[r["i"]][0], k): at for k, at in zip(wanted[r["i"]], r["at"], strict=True) if at is not None})
         work = []
         if wide:
             step = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets)).cast("int")
@@ -131,6 +131,8 @@ def group_quantiles(df: DataFrame, by: list[str], values: dict, probabilities: l
         if not n:
             return float("nan")
         k = int(p * (n - 1))
+        if (key, k) not in found or (key, min(k + 1, n - 1)) not in found:
+            raise RuntimeError("values differ from one pass to the next")
         a, b, part = found[key, k], found[key, min(k + 1, n - 1)], p * (n - 1) - k
         return a if a == b else math.fma(a, 1 - part, b * part)  # as pixels.quantile
 
@@ -184,7 +186,18 @@ def scale_and_shift(df: DataFrame, trim: bool = False, *masks) -> DataFrame:
 
 def aligned(df: DataFrame, trim: bool = False, *masks) -> DataFrame:
     """Predictions after the fit; images without one keep theirs."""
-    fit = scale_and_shift(df, trim, *masks).select("img", "s", "t")
+    return with_fit(df, scale_and_shift(df, trim, *masks))
+
+
+def settled(fit: DataFrame) -> DataFrame:
+    """A row an image, computed once: the sums of a fit are added up in another order each time, which moves its last
+    digits, and what passes over the pixels more than once (``group_quantiles``) must see the same predictions."""
+    sc = fit.sparkSession.sparkContext
+    return fit.checkpoint() if sc.getCheckpointDir() else fit.localCheckpoint()
+
+
+def with_fit(df: DataFrame, fit: DataFrame) -> DataFrame:
+    fit = fit.select("img", "s", "t")
     return df.join(fit, "img", "left").withColumn("pred", F.coalesce(F.col("s"), F.lit(1.0)) * F.col("pred") + F.coalesce(F.col("t"), F.lit(0.0))).drop("s", "t")
 
 

@@ -58,7 +58,8 @@ def in_spaces(pixels: DataFrame, mode: str = "auto_affine", hint: str | None = N
     masks = [F.col("sky_valid")] if sky else []
     fitted = mode == "affine" or mode == "auto_affine" and found != "metric"
     wanted = depth.emitted(found, fitted)
-    frames = [(n, depth.aligned(pixels, sky, *masks) if n == "metric" and fitted else pixels) for n in ("native", "metric") if wanted[n]]
+    fit = depth.settled(depth.scale_and_shift(pixels, sky, *masks)) if fitted and wanted["metric"] else None
+    frames = [(n, depth.with_fit(pixels, fit) if n == "metric" and fitted else pixels) for n in ("native", "metric") if wanted[n]]
     return found, _union([f.withColumn("img", F.struct(F.lit(n).alias("space"), F.col("img").alias("id"))) for n, f in frames])
 
 

@@ -1,6 +1,7 @@
 """Evaluation runs: spaces, bins, sparse references, and agreement with the single operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,12 @@ def test_jobs_do_not_grow_with_the_ranges_of_quantiles(spark):
     for b, of in (("", e), ("near", e.where("bin = 'near'")), ("all", e.where("bin is not null"))):
         assert s["native", b, "depth_metrics.rmse.p90"] == pytest.approx(of.select(F.percentile(F.abs("d"), 0.9)).first()[0])
         assert s["native", b, "standard.pixel_pool.absrel"] == pytest.approx(of.select(F.avg("rel")).first()[0])
+
+
+def test_passes_see_the_same_predictions(spark):
+    """The fit is not computed again in each pass, and values that move are an error, not a wrong quantile."""
+    px = maps(spark, {"a": (GT["a"], [[x / 100 for x in r] for r in GT["a"]])})
+    assert "regr_" not in E.in_spaces(px)[1]._jdf.queryExecution().optimizedPlan().toString()
+    moving = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    with pytest.raises(RuntimeError, match="differ"):
+        depth.group_quantiles(spark.range(3000).select(moving("id").alias("v")), [], {"v": F.col("v")}, [0.0, 0.5, 1.0], 16)
