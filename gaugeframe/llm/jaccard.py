@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, ascii_lower, begin, cut, give_back, narrowed
+from .common import BROADCAST_KEYS, REMEMBERED, ascii_lower, begin, cut, give_back, narrowed
 
 #: Similarity as a fraction, so that the threshold is exact.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -93,7 +93,8 @@ def named(hashes: np.ndarray) -> int:
 
 
 def node(text: Column, shingle: int = SHINGLE) -> Column:
-    """The node of each text."""
+    """The node of each text. Spark must not take it for an expression that it may repeat: a filter on it, as a join
+    adds one, would run it twice, and each core of an executor would need two workers from then on."""
     import pandas as pd
 
     def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -101,7 +102,7 @@ def node(text: Column, shingle: int = SHINGLE) -> Column:
             yield pd.Series([named(shingles(t, shingle)) for t in texts], dtype="int64")
 
     typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(typed, "long")(text)
+    return F.pandas_udf(typed, "long").asNondeterministic()(text)
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -407,7 +408,8 @@ def remaining(large: DataFrame, near_to: DataFrame, known: DataFrame, similarity
     e = large.join(near_to, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = e.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("top")).where("c > top.c")
     parts = lambda n: F.ceil(n / F.lit(tile)).cast("int")
-    sizes = sizes.select("shingle", F.col("top.component").alias("top"), parts(F.col("c")).alias("wide"), parts(F.col("c") - F.col("top.c")).alias("high"))
+    sizes = cut(sizes.select("shingle", F.col("top.component").alias("top"), parts(F.col("c")).alias("wide"), parts(F.col("c") - F.col("top.c")).alias("high")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes  # else all nodes of a shingle meet in a task
     e = cut(e.join(sizes, "shingle").withColumn("other", F.col("component") != F.col("top")))
     e = e.join(narrowed(known.select("node", "sketch"), e.select("node"), "node", "left_semi").dropDuplicates(["node"]), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")

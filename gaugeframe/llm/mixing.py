@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,7 +176,9 @@ def cut_points(narrow: DataFrame, taken: list[dict]) -> DataFrame:
     """(p, pattern, whole, extra, cut, before): whole passes over a pattern, and extra words of one more, which ends in
     the bucket ``cut`` with ``before`` words in earlier buckets. narrow: (pattern, size, bucket)."""
     goals = [(i, t["pattern"], int(t["taken"] // t["words"]) if t["words"] else 0, int(t["taken"] % t["words"]) if t["words"] else 0) for i, t in enumerate(taken)]
-    goals = narrow.sparkSession.createDataFrame(goals, "p int, pattern array<string>, whole long, extra long")
+    kinds = {"p": pa.int32(), "pattern": pa.list_(pa.string()), "whole": pa.int64(), "extra": pa.int64()}
+    # As a list it would pass through Python workers of another kind, a daemon and two workers more on each executor.
+    goals = narrow.sparkSession.createDataFrame(pa.table({c: pa.array([g[k] for g in goals], kind) for k, (c, kind) in enumerate(kinds.items())}))
     rows = narrow.join(_sent(goals, len(taken)), "pattern")  # arrays with null members are equal, too
     coarse = F.shiftright("bucket", 12)
 

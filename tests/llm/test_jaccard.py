@@ -71,3 +71,40 @@ def test_prefix_order_is_the_same_for_all():
     assert beyond.tolist() == [x for x in rest if x not in common] + tail and place[-3:].tolist() == [1, 2, 0]
     assert J.dealt(h, common, ranks, len(first) + 3)[1].tolist() == beyond[:3].tolist()
     assert len(J.dealt(h, common, ranks, 3)[1]) == 0
+
+def test_components_on_the_driver_and_in_rounds(spark):
+    from gaugeframe.llm.components import components, joined
+
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(9 - i, 50 + i) for i in range(5)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(7, 7), (101, 100), (-5, 2**62)]
+    label = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in label:
+        for u, v in links:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    df = spark.createDataFrame(links, "u long, v long")
+    spark.sparkContext.setJobGroup("few", "")
+    assert {tuple(x) for x in components(df).collect()} == set(label.items())
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 10  # a round takes about as many
+    spark.sparkContext.setJobGroup("rest", "")
+    assert {tuple(x) for x in components(df, most=0).collect()} == set(label.items())
+    assert components(df.where("u = v")).count() == 0
+    chain = np.arange(50_000)
+    np.random.default_rng(1).shuffle(chain)
+    assert (joined(chain[1:], chain[:-1])[1] == 0).all()
+
+
+def test_no_task_needs_a_second_worker(spark):
+    """A filter on the key, which the join adds, ran the function twice in a task."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e"), (None, "a b c")], "doc_id long, text string")
+    plan = S.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_the_goals_of_a_mix_need_no_worker(spark):
+    from gaugeframe.llm import mixing
+
+    narrow = spark.createDataFrame([(["a"], 3, 1), ([None], 4, 2)], "pattern array<string>, size long, bucket int").checkpoint()
+    found = mixing.cut_points(narrow, [{"pattern": ["a"], "words": 3, "taken": 5}, {"pattern": [None], "words": 4, "taken": 4}])
+    assert "LocalTableScan" in found._jdf.queryExecution().executedPlan().toString()
+    assert [(x.p, x.whole, x.extra) for x in found.orderBy("p").collect()] == [(0, 1, 2), (1, 1, 0)]
