@@ -46,6 +46,8 @@ ENTRY = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4
 PAIR = "u long, v long"
 #: Of the sketch that leaves out most pairs before whole sets are moved.
 BITS = 1024
+#: Pairs whose sketches are compared at a time, three arrays of 128 bytes a pair.
+SKETCHED = 8_192
 
 
 class _Words(dict):
@@ -233,13 +235,15 @@ def across(entries: np.ndarray, classes: np.ndarray, sketches: np.ndarray, other
     lie in different classes."""
     rows, all_ = np.flatnonzero(other), np.flatnonzero(~other)
     found = [np.zeros((0, 2), np.int64)]
-    step = max(1, (1 << 18) // max(1, len(all_)))
+    step = max(1, (1 << 16) // max(1, len(all_)))
     for k in range(0, len(rows), step):
         a = rows[k : k + step]
         i, j = np.nonzero(near(entries[a][:, None], entries[all_][None, :], similarity) & (classes[a][:, None] != classes[all_][None, :]))
         i, j = a[i], all_[j]
-        held = plausible(entries["n"][i].astype(np.int64) + entries["n"][j], sketches[i], sketches[j], similarity)
-        found.append(np.stack([entries["node"][i[held]], entries["node"][j[held]]], axis=1))
+        for at in range(0, len(i), SKETCHED):
+            u, v = i[at : at + SKETCHED], j[at : at + SKETCHED]
+            held = plausible(entries["n"][u].astype(np.int64) + entries["n"][v], sketches[u], sketches[v], similarity)
+            found.append(np.stack([entries["node"][u[held]], entries["node"][v[held]]], axis=1))
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
@@ -324,7 +328,7 @@ def prefixes(docs: DataFrame, known: DataFrame, shingle: int, similarity: tuple[
                 e["shingle"], e["node"] = first, name
                 counted.append(e)
                 sizes.append((0, name, len(h), len(first)))
-                n += len(first) + 1
+                n += len(first) + len(beyond) + 1
                 if len(beyond):
                     r = np.empty(len(beyond), RANKED)
                     r["shingle"], r["node"], r["n"], r["df"] = beyond, name, np.where(place < 0, 1, common_parts[place] if len(common) else 1), -1 - len(first) - np.arange(len(beyond))

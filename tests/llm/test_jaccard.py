@@ -108,3 +108,22 @@ def test_the_goals_of_a_mix_need_no_worker(spark):
     found = mixing.cut_points(narrow, [{"pattern": ["a"], "words": 3, "taken": 5}, {"pattern": [None], "words": 4, "taken": 4}])
     assert "LocalTableScan" in found._jdf.queryExecution().executedPlan().toString()
     assert [(x.p, x.whole, x.extra) for x in found.orderBy("p").collect()] == [(0, 1, 2), (1, 1, 0)]
+
+
+def test_a_tile_is_compared_in_little_memory():
+    """All pairs of a tile were looked up at once, 256 K of them: over 100 MB a worker."""
+    import tracemalloc
+
+    n, r = 1_000, np.random.default_rng(1)
+    entries = np.zeros(2 * n, J.ENTRY)
+    entries["node"], entries["n"], entries["at"] = np.arange(2 * n), 100, 3
+    sketches = r.integers(0, 2**63, (2 * n, J.BITS // 64)).astype(np.uint64)
+    sketches[n::5] = sketches[:n:5]
+    tracemalloc.start()
+    try:
+        pairs = J.across(entries, np.arange(2 * n), sketches, np.arange(2 * n) >= n, J.SIMILARITY)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs.tolist() == [[i, n + i] for i in range(0, n, 5)]
+    assert peak < 16 << 20
